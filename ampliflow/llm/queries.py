@@ -39,6 +39,12 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), ngram=2)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
