@@ -45,6 +45,18 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=2)
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import language_of
+
+    return language_of(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
