@@ -145,27 +145,60 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Connected components of ``edges(a long, b long)``: (id, component), component the smallest id. Ids without an edge don't appear.
-
-    Contraction: each node points to the neighbour (or itself) of least
-    pseudo-random rank in this round; edges are renamed to what their ends
-    point to until none is left. The number of nodes falls geometrically for
-    any order of the ids, and hubs only pass through partial aggregates.
+FOREST_EDGES = 2_000_000  # edges (16 bytes each) that one task may hold to finish a forest
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges of a partition: each node with the root of its tree."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(root, nodes), pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, most: int = FOREST_EDGES) -> DataFrame:
+    """Connected components of ``edges(a long, b long)``: (id, component), component the smallest id. Ids without an edge may be left out.
+
+    While there are more than ``most`` edges, they are contracted: each node
+    points to the neighbour (or itself) of least pseudo-random rank in this
+    round, edges are renamed to what their ends point to. The number of nodes
+    falls geometrically for any order of the ids, and hubs only pass through
+    partial aggregates. A graph of at most ``most`` edges is finished by
+    union-find in one task.
     """
-    now = scratch.save(edges.filter("a <> b").select("a", "b").distinct(), f"{name}-edges0")
-    labels = scratch.save(now.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("at", F.col("id")), f"{name}-labels0")
+    now = scratch.save(edges.filter("a <> b").select("a", "b"), f"{name}-edges0")
+    labels = None
     for k in range(1, 100):
-        if now.isEmpty():
+        n = now.count()
+        if n <= most:
             break
-        rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("rank"), c.alias("id"))
+        rank = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), c).alias("rank"), c.alias("id"))
         both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        to = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank(F.col("b"))), rank(F.col("node")))["id"].alias("to"))
-        to = scratch.save(to, f"{name}-to{k}")
-        old, scratch_old = now, f"{name}-edges{k - 1}"
-        now = old.join(to.withColumnsRenamed({"node": "a", "to": "a2"}), "a").join(to.withColumnsRenamed({"node": "b", "to": "b2"}), "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a <> b").distinct()
-        now = scratch.save(now, f"{name}-edges{k}")
-        labels = scratch.save(labels.join(to.withColumnRenamed("node", "at"), "at", "left").select("id", F.coalesce("to", "at").alias("at")), f"{name}-labels{k}")
-        scratch.drop(scratch_old, f"{name}-labels{k - 1}", f"{name}-to{k}")
-    least = labels.groupBy("at").agg(F.min("id").alias("component"))
-    return scratch.save(labels.join(least, "at").select("id", "component"), f"{name}-components")
+        to = both.groupBy(F.col("a").alias("node")).agg(F.min(rank(F.col("b"))).alias("best"))
+        to = scratch.save(to.select("node", F.least("best", rank(F.col("node")))["id"].alias("to")), f"{name}-to{k}")
+        renamed = now.join(to.withColumnsRenamed({"node": "a", "to": "a2"}), "a").join(to.withColumnsRenamed({"node": "b", "to": "b2"}), "b")
+        now = scratch.save(renamed.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a <> b").distinct(), f"{name}-edges{k}")
+        moved = to.withColumnsRenamed({"node": "id", "to": "at"}) if labels is None else labels.join(to.withColumnRenamed("node", "at"), "at", "left").select("id", F.coalesce("to", "at").alias("at"))
+        labels = scratch.save(moved, f"{name}-labels{k}")
+        scratch.drop(f"{name}-edges{k - 1}", f"{name}-labels{k - 1}")
+    last = now.coalesce(1).mapInArrow(_forest, "a long, b long") if n else now
+    last = scratch.save(last.withColumnsRenamed({"a": "id", "b": "component"}), f"{name}-forest")
+    if labels is None:
+        return last
+    merged = labels.join(last.withColumnRenamed("id", "at"), "at", "left").select("id", F.coalesce("component", "at").alias("root"))
+    least = merged.groupBy("root").agg(F.min("id").alias("component"))
+    return scratch.save(merged.join(least, "root").select("id", "component"), f"{name}-components")

@@ -7,10 +7,12 @@ coordinates make pairs of Jaccard similarity 0.8 meet with a probability above
 0.999997. Documents of one shingle set form a class beforehand.
 
 Instead of all pairs of a bucket, its smallest document is compared with the
-others on full shingle sets. Buckets that then still hold several components
-are gone through again: in ``ROUNDS`` rounds each document outside the first
-component meets another member of it, then whatever is left apart is compared
-in full, so no pair that met in a bucket goes without a decision.
+others on full shingle sets. In buckets that then still hold several
+components, all their members are compared, block against block of the groups
+that such buckets connect: pairs of different components whose signatures
+agree in at least ``LIKELY`` coordinates (six standard deviations below the
+mean of the weakest link) are compared on full sets. So no pair that met in a
+bucket goes without a decision, and only links leave a task.
 
 Link: ``den * |A and B| >= num * |A or B|``. No word or null text: empty set,
 linked with nothing. Fewer words than a shingle: all of them make one.
@@ -32,7 +34,8 @@ from .common import LOWER, NOT_SPACE, Scratch, annotate, components, mix, number
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 42, 6
-ROUNDS = 3
+LIKELY = 164  # of 252 coordinates
+BLOCK = 2 << 20  # shingles of a block
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) up to which the documents to compare are marked by broadcast
 
 _made: dict[str, np.ndarray] = {}
@@ -96,27 +99,34 @@ def shingle_sets(col: pa.Array, ngram: int):
 
 def _features(docs: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
-        n, digests, keys = [], [], []
+        n, digests, keys, signs = [], [], [], []
         for s in shingle_sets(batch.column("text"), ngram):
             n.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            keys.append(band_keys(signature(s)) if len(s) else None)
-        return {"n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+            sign = signature(s) if len(s) else None
+            keys.append(None if sign is None else band_keys(sign))
+            signs.append(None if sign is None else sign.astype(np.uint8).tobytes())
+        return {"n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "sign": pa.array(signs, pa.binary())}
 
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("sign", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     return annotate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), fields, run, only=["doc_id"])
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, ngram: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link, compared on the full shingle sets of ``docs(doc_id, text)``."""
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+def _sets(ids: DataFrame, docs: DataFrame, ngram: int, scratch: Scratch, name: str) -> DataFrame:
+    """(doc_id, shingles) of the documents of ``ids(doc_id)``, each once."""
     marked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"shingles": pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), ngram)], pa.binary())}
 
     sets = annotate(docs.join(marked, "doc_id", "left_semi"), [T.StructField("shingles", T.BinaryType())], run, only=["doc_id"])
-    sets = scratch.save(sets.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), f"{name}-sets")
+    return scratch.save(sets.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), f"{name}-sets")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, ngram: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those of ``pairs(a, b)`` that link, compared on the full shingle sets of ``docs(doc_id, text)``."""
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    sets = _sets(ids, docs, ngram, scratch, name)
 
     def compare(batch: pa.RecordBatch) -> dict:
         out = []
@@ -138,6 +148,64 @@ def _linked(pairs: DataFrame, docs: DataFrame, ngram: int, num: int, den: int, s
     return found
 
 
+def _between(rows: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between members of different components of two blocks (or one)."""
+    of, ids, n, x = (rows[c].to_numpy() for c in ("of", "b", "nb", "x"))
+    signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(len(ids), -1)
+    sets = [np.frombuffer(v, np.uint64) for v in rows["shingles"].to_pylist()]
+    size = np.array([len(v) for v in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.cumsum(size) - size
+    mark = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+    i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+    right = np.flatnonzero(x == j)
+    found = []
+    for a in np.flatnonzero(x == i).tolist():
+        r = right[right > a] if i == j else right
+        r = r[(of[r] != of[a]) & (den * np.minimum(n[a], n[r]) >= num * np.maximum(n[a], n[r]))]
+        r = r[(signs[r] == signs[a]).sum(1) >= LIKELY]
+        if len(r):
+            own = code[at[a] : at[a] + size[a]]
+            mark[own] = True
+            first = np.cumsum(size[r]) - size[r]
+            both = np.add.reduceat(mark[code[np.arange(int(size[r].sum())) + np.repeat(at[r] - first, size[r])]].astype(np.int64), first)
+            mark[own] = False
+            found += [(ids[a], b) for b in ids[r[den * both >= num * (size[a] + size[r] - both)]].tolist()]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs.min(1, initial=1 << 62), pairs.max(1, initial=-(1 << 62))
+
+
+def _apart(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of ``members(group, blocks, of, b, nb, sign, shingles)`` between different components of a group."""
+    spread = members.withColumn("x", F.pmod(F.xxhash64("b"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("group", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "of", "b", "nb", "sign", "shingles")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def links(rows: pa.Table) -> pa.RecordBatch:
+            a, b = _between(rows, num, den)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(c).to_numpy() for c in range(3)]
+            cut = (np.flatnonzero(np.any([v[1:] != v[:-1] for v in key], axis=0)) + 1).tolist()
+            if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in range(3)):
+                yield links(pa.Table.from_batches(held))
+                held = []
+            for lo, hi in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                held.append(batch.slice(lo, hi - lo))
+                if hi < batch.num_rows:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return spread.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession)
@@ -148,32 +216,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = some.join(classes, (some.digest == classes.digest) & (some.doc_id == classes.rep), "left_semi")
     keyed = scratch.save(reps.select("doc_id", "n_shingles", F.explode("keys").alias("key")), "keyed")
     shared = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("p"), F.max("doc_id").alias("last")).filter("p.doc_id <> last")
-    mates = scratch.save(keyed.join(shared.select("key", F.col("p.doc_id").alias("a"), F.col("p.n_shingles").alias("na")), "key").select("key", "a", "na", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb")), "mates")
+    mates = keyed.join(shared.select("key", F.col("p.doc_id").alias("a"), F.col("p.n_shingles").alias("na")), "key").select("key", "a", "na", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
+    mates = scratch.save(mates, "mates")
     scratch.drop("keyed")
-    alike = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)
-    ends = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = scratch.save(ends(mates.filter((F.col("a") != F.col("b")) & alike(F.col("na"), F.col("nb")))), "pairs0")
-    edges, tried = _linked(pairs, texts, ngram, num, den, scratch, "round0"), pairs
-    for k in range(1, ROUNDS + 2):
-        found = components(edges, scratch, f"components{k}")
-        now = mates.select("key", "b", "nb").join(found.withColumnRenamed("id", "b"), "b", "left").withColumn("of", F.coalesce("component", "b")).drop("component")
-        several = now.groupBy("key").agg(F.min("of").alias("main"), F.max("of").alias("last")).filter("main <> last").drop("last")
-        apart = scratch.save(now.join(several, "key"), f"apart{k}")
-        if apart.isEmpty():
-            break
-        if k <= ROUNDS:  # one member of the first component, another in each round
-            pick = apart.filter("of = main").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "b"), F.col("b").alias("a"), F.col("nb").alias("na"))).alias("p")).select("key", "p.a", "p.na")
-            more = apart.filter("of <> main").join(pick, "key")
-        else:
-            left = apart.select("key", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("of").alias("of_a"))
-            more = apart.join(left, "key").filter("of_a < of")
-        more = ends(more.filter(alike(F.col("na"), F.col("nb"))))
-        more = scratch.save(more.join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
-        if not more.isEmpty():
-            edges = edges.unionByName(_linked(more, texts, ngram, num, den, scratch, f"round{k}"))
-            tried = tried.unionByName(more)
-        if k > ROUNDS:
-            found = components(edges, scratch, "components-last")
+    alike = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    pairs = mates.filter((F.col("a") != F.col("b")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _linked(scratch.save(pairs, "pairs"), texts, ngram, num, den, scratch, "star")
+    found = components(links, scratch, "star-components")
+
+    now = mates.select("key", "b", "nb").join(found.withColumnRenamed("id", "b"), "b", "left").withColumn("of", F.coalesce("component", "b")).drop("component")
+    now = scratch.save(now, "bucket-components")
+    several = now.groupBy("key").agg(F.min("of").alias("first"), F.max("of").alias("last"), F.min("b").alias("a")).filter("first <> last")
+    open_ = scratch.save(now.join(several.select("key", "a"), "key").select("a", "b", "of", "nb"), "open")
+    if not open_.isEmpty():
+        groups = components(open_.select("a", "b"), scratch, "groups").withColumnsRenamed({"id": "b", "component": "group"})
+        members = open_.select("b", "of", "nb").distinct().join(groups, "b", "left").withColumn("group", F.coalesce("group", "b"))
+        members = scratch.save(members, "members")
+        blocks = members.groupBy("group").agg(F.ceil(F.sum("nb") / BLOCK).alias("blocks"))
+        signs = some.select(F.col("doc_id").alias("b"), "sign").dropDuplicates(["b"])
+        sets = _sets(members.select(F.col("b").alias("doc_id")), texts, ngram, scratch, "members").withColumnRenamed("doc_id", "b")
+        more = scratch.save(_apart(members.join(blocks, "group").join(signs, "b").join(sets, "b"), num, den), "apart")
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "all-components")
     of = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("of"))
     out = feats.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
