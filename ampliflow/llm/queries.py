@@ -45,6 +45,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=2)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "span_list")
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import filter_urls
 
