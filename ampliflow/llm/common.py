@@ -145,6 +145,26 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first ``keys`` columns, of batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)]
+        cut = (np.flatnonzero(np.any([v[1:] != v[:-1] for v in value], axis=0)) + 1).tolist()
+        if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 FOREST_EDGES = 2_000_000  # edges (16 bytes each) that one task may hold to finish a forest
 
 

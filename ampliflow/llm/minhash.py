@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, Scratch, annotate, components, mix, numbers, slices, text_buffers, word_hashes, words
+from .common import LOWER, NOT_SPACE, Scratch, annotate, components, mix, numbers, runs, slices, text_buffers, word_hashes, words
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 42, 6
@@ -181,27 +181,9 @@ def _apart(members: DataFrame, num: int, den: int) -> DataFrame:
     spread = spread.select("group", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "of", "b", "nb", "sign", "shingles")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def links(rows: pa.Table) -> pa.RecordBatch:
+        for rows in runs(batches, 3):
             a, b = _between(rows, num, den)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = [batch.column(c).to_numpy() for c in range(3)]
-            cut = (np.flatnonzero(np.any([v[1:] != v[:-1] for v in key], axis=0)) + 1).tolist()
-            if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in range(3)):
-                yield links(pa.Table.from_batches(held))
-                held = []
-            for lo, hi in zip([0, *cut], [*cut, batch.num_rows], strict=True):
-                held.append(batch.slice(lo, hi - lo))
-                if hi < batch.num_rows:
-                    yield links(pa.Table.from_batches(held))
-                    held = []
-        if held:
-            yield links(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return spread.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
 

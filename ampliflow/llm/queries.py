@@ -51,6 +51,44 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "span_list")
 
 
+def op2_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, audit, damaged
+
+    pages = table(spark, sf_dir, "pages")
+    return audit(archive(pages), damaged(pages))
+
+
+_LEAVES = "SELECT file, CAST(floor(\"offset\" / 65536) AS BIGINT) AS node, sha256(string_agg(s, ',' ORDER BY s)) AS hash FROM (SELECT file, \"offset\", concat_ws(':', \"offset\", length, digest) AS s FROM {t}) GROUP BY ALL"
+_LEVEL = "SELECT file, CAST(floor(node / 16) AS BIGINT) AS node, sha256(string_agg(concat_ws(':', c, hash), ',' ORDER BY c)) AS hash FROM (SELECT file, node, node AS c, hash FROM ({t})) GROUP BY file, CAST(floor(node / 16) AS BIGINT)"
+
+
+def _root(t: str) -> str:
+    sql = _LEAVES.format(t=t)
+    for _ in range(4):
+        sql = _LEVEL.format(t=sql)
+    return sql
+
+
+ORACLES["op2_fixity"] = f"""
+WITH p AS (SELECT coalesce(page_id, -1) AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, url, CASE WHEN page_id % 97 = 5 AND html[1] = '<' THEN '[' || html[2:] ELSE html END AS html FROM p),
+a0 AS (SELECT CAST(floor(page_id / 1000) AS BIGINT) AS file, page_id, CAST(strlen(url || chr(13) || chr(10) || chr(13) || chr(10) || html) AS BIGINT) AS length, sha256(url || chr(13) || chr(10) || chr(13) || chr(10) || html) AS digest FROM p),
+b0 AS (SELECT CAST(floor(page_id / 1000) AS BIGINT) AS file, page_id, CAST(strlen(url || chr(13) || chr(10) || chr(13) || chr(10) || html) AS BIGINT) AS length, sha256(url || chr(13) || chr(10) || chr(13) || chr(10) || html) AS digest FROM q),
+a AS (SELECT *, CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest) - length AS BIGINT) AS "offset" FROM a0),
+b AS (SELECT * FROM (SELECT *, CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest) - length AS BIGINT) AS "offset" FROM b0) WHERE page_id % 211 <> 7),
+ra AS ({_root("a")}),
+rb AS ({_root("b")})
+SELECT a.file, a."offset", CASE WHEN b.digest IS NULL THEN 'missing' ELSE 'corrupt' END AS status, a.length, a.digest, a.page_id, b.digest AS replica_digest, ra.hash AS root, rb.hash AS replica_root
+FROM a LEFT JOIN b USING (file, "offset") JOIN ra ON a.file = ra.file LEFT JOIN rb ON a.file = rb.file WHERE b.digest IS DISTINCT FROM a.digest
+"""
+
+
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import filter_urls
 
