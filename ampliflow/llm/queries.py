@@ -95,6 +95,24 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import shared_passages
+
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_passages"] = r"""
+WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, k, md5(array_to_string(w[k + 1 : k + 50], ' ')) AS h FROM d, unnest(range(0, len(w) - 49)) AS u(k) WHERE len(w) >= 50),
+s AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+b AS (SELECT DISTINCT doc_id, k FROM g JOIN s USING (h)),
+c AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS fresh FROM b),
+r AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM c),
+p AS (SELECT doc_id, run, min(k) AS lo, max(k) + 50 AS hi FROM r GROUP BY doc_id, run)
+SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_shared, string_agg(lo || ':' || hi, ',' ORDER BY lo) AS passages FROM p GROUP BY doc_id
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import language_of
 
