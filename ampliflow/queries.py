@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import seq as S
+from .kernels.errors import binned_errors, loess_errors
+from .operators import denoise as D
 from .operators import reads as R
 from .operators import tables as T
 from .plans.fixtures import READS, reads, templates
@@ -344,6 +347,93 @@ ORACLES["sankey_links"] = f"""WITH {_TRACK}, l AS (SELECT stage AS source, lead(
 SELECT source, nxt AS target, least(n, m) AS value FROM l WHERE nxt IS NOT NULL UNION ALL SELECT source, 'lost', n - m FROM l WHERE nxt IS NOT NULL AND n > m"""
 
 
+def learn_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.learning_subset(R.uniques(filtered(spark, sf_dir)), 100_000)
+
+
+ORACLES["learn_subset"] = f"""WITH {FILTERED}, b AS (SELECT sample_id, CAST(sum(abundance * length(seq)) AS BIGINT) AS bases FROM uniq GROUP BY sample_id), c AS (SELECT *, coalesce(sum(bases) OVER (ORDER BY sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT sample_id, bases FROM c WHERE before < 100000"""
+
+
+def trans_ungapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions of reads against their templates, position by position."""
+    r = reads(spark, sf_dir).filter("h < 250 OR h >= 330").join(F.broadcast(templates(spark, sf_dir)), "tid")
+    each = r.select(F.posexplode(F.split("tseq", "")).alias("pos", "from_nt"), "seq", "qual")
+    at = lambda c: F.substr(c, F.col("pos") + 1, F.lit(1))
+    each = each.select("from_nt", at(F.col("seq")).alias("to_nt"), (F.ascii(at(F.col("qual"))) - 33).cast("long").alias("q"))
+    return each.groupBy("from_nt", "to_nt", "q").agg(F.count("*").alias("n"))
+
+
+_TRANS = "w AS (SELECT seq, qual, tseq FROM reads JOIN t USING (tid) WHERE h < 250 OR h >= 330), tr AS (SELECT substr(tseq, CAST(i AS INT), 1) AS from_nt, substr(seq, CAST(i AS INT), 1) AS to_nt, CAST(ascii(substr(qual, CAST(i AS INT), 1)) - 33 AS BIGINT) AS q, count(*) AS n FROM w, unnest(range(1, 65)) AS u(i) GROUP BY ALL)"
+ORACLES["trans_ungapped"] = f"WITH {READS}, {_TRANS} SELECT * FROM tr"
+
+
+def err_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = F.sum("n").over(Window.partitionBy("from_nt", "q"))
+    return trans_ungapped(spark, sf_dir).select("from_nt", "to_nt", "q", F.round(F.col("n") / total, 9).alias("rate"), F.round(S.nominal(F.col("q")), 9).alias("nominal"))
+
+
+ORACLES["err_observed"] = f"WITH {READS}, {_TRANS} SELECT from_nt, to_nt, q, round(n / sum(n) OVER (PARTITION BY from_nt, q), 9) AS rate, round(power(10.0, -q / 10.0), 9) AS nominal FROM tr"
+
+
+def err_noqual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = trans_ungapped(spark, sf_dir).groupBy("from_nt", "to_nt").agg(F.sum("n").alias("n"))
+    rate = F.col("n") / F.sum("n").over(Window.partitionBy("from_nt"))
+    return n.select("from_nt", "to_nt", F.round(rate, 9).alias("rate"), F.round(S.inflate(rate, 3.0), 9).alias("inflated"))
+
+
+ORACLES["err_noqual"] = f"WITH {READS}, {_TRANS}, g AS (SELECT from_nt, to_nt, sum(n) AS n FROM tr GROUP BY ALL), r AS (SELECT from_nt, to_nt, n / sum(n) OVER (PARTITION BY from_nt) AS r FROM g) SELECT from_nt, to_nt, round(r, 9) AS rate, round(least(greatest(r * 3 / (1 + 2 * r), 0), 1), 9) AS inflated FROM r"
+
+
+def _matrix(trans: DataFrame) -> np.ndarray:
+    """At most 16 x Q counts, from their aggregate."""
+    rows = trans.groupBy("from_nt", "to_nt", "q").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros((16, 1 + max((r.q for r in rows), default=40)), np.int64)
+    for r in rows:
+        out["ACGT".index(r.from_nt) * 4 + "ACGT".index(r.to_nt), r.q] = r.n
+    return out
+
+
+def err_loess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.error_rows(spark, loess_errors(_matrix(trans_ungapped(spark, sf_dir))))
+
+
+def err_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.error_rows(spark, binned_errors([8, 20, 30, 40])(_matrix(trans_ungapped(spark, sf_dir))))
+
+
+def learned_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.error_rows(spark, D.learn_errors(R.dereplicate(filtered(spark, sf_dir)), bases=200_000, rounds=3))
+
+
+def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    err = loess_errors(_matrix(trans_ungapped(spark, sf_dir)))
+    return D.denoise(R.dereplicate(filtered(spark, sf_dir)), err)
+
+
+def merged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, r = _mates(spark, sf_dir)
+    clean = lambda d: d.filter(~F.col("seq").contains("N"))
+    return D.merge_pairs(clean(f), clean(r))
+
+
+def merged_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, r = _mates(spark, sf_dir)
+    return D.merge_pairs(f, r, just_concatenate=True).select("sample_id", "seq", "abundance", "accept")
+
+
+ORACLES["merged_concatenated"] = f"WITH {READS}, m AS (SELECT sample_id, left(seq, 40) AS f, left({_RC.format('seq')}, 40) AS r FROM reads) SELECT sample_id, f || 'NNNNNNNNNN' || {_RC.format('r')} AS seq, count(*) AS abundance, true AS accept FROM m GROUP BY sample_id, f, r"
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = templates(spark, sf_dir)
+    u = t.select(F.pmod(F.col("tid") + 1, F.lit(40)).alias("tid"), F.col("tseq").alias("b"))
+    return D.aligned(t.join(u, "tid").select(F.col("tseq").alias("a"), "b"))
+
+
+def bimera_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.consensus(D.bimeras(seqtab_long(spark, sf_dir)))
+
+
 def _own() -> dict:
     names = {"filtered", "reads", "templates", "queries", "oracle_sql"}
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in names}
