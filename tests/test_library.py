@@ -58,7 +58,8 @@ def test_alignments_have_the_best_score():
 
 def test_consensus_and_counts():
     assert A.evaluate("--ACGT", "TTACGA") == (3, 1, 0)
-    assert A.consensus("ACGTT--", "--GTTAA") == "ACGTT"
+    assert A.consensus("ACGTT--", "--GTTAA") == "ACGTTAA"
+    assert A.consensus("--GTTAA", "ACGTT--") == "GTT"
     assert A.consensus("ACGA", "ACGT", prefer=2) == "ACGT"
 
 
