@@ -107,7 +107,7 @@ def lineage_standard(header: Column) -> Column:
     return F.when((semi > 0) & ((blank == 0) | (semi < blank)), header).when(blank > 0, F.trim(F.substr(header, blank + 1))).otherwise("")
 
 
-def lineage_unite(header: Column, sentinel: str = "_DADA2_UNSPECIFIED") -> Column:
+def lineage_unite(header: Column, sentinel: str = "_UNSPECIFIED") -> Column:
     """The lineage of a UNITE header: its fifth field without rank prefixes, unidentified ranks as a sentinel."""
     field = F.split_part(header, F.lit("|"), F.lit(5))
     return F.regexp_replace(F.regexp_replace(field, "[kpcofgs]__unidentified", sentinel), "[kpcofgs]__", "")

@@ -269,7 +269,7 @@ def lineage_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("tid", *[levels[i].alias(f"r{i}") for i in range(4)], F.array_join(unite, ";").alias("unite"))
 
 
-ORACLES["lineage_parse"] = f"""WITH {READS} SELECT tid, CASE WHEN tid % 2 = 0 THEN 'K' || tid // 20 ELSE 'K' || tid // 20 END AS r0, 'P' || tid // 10 AS r1, 'C' || tid // 5 AS r2, CAST(NULL AS VARCHAR) AS r3, 'K' || tid // 20 || ';_DADA2_UNSPECIFIED;C' || tid // 5 AS unite FROM t"""
+ORACLES["lineage_parse"] = f"""WITH {READS} SELECT tid, CASE WHEN tid % 2 = 0 THEN 'K' || tid // 20 ELSE 'K' || tid // 20 END AS r0, 'P' || tid // 10 AS r1, 'C' || tid // 5 AS r2, CAST(NULL AS VARCHAR) AS r3, 'K' || tid // 20 || ';_UNSPECIFIED;C' || tid // 5 AS unite FROM t"""
 
 
 def nb_train(spark: SparkSession, sf_dir: str) -> DataFrame:

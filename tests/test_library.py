@@ -77,10 +77,19 @@ def test_error_models_sum_to_one():
         assert np.allclose(model(trans).reshape(4, 4, -1).sum(1), 1)
 
 
-def test_loess_golden_cells():
-    trans = np.array([[1000 - 70 * q for q in range(10)], *[[10 + q % 3 for q in range(10)]] * 15])
-    err = loess_errors(trans)
+# A transition matrix and rates known for it.
+TRANS = [
+    [1000, 900, 800, 700, 650, 600, 550, 500, 450, 400], [10, 11, 12, 13, 12, 11, 10, 9, 8, 7], [20, 18, 16, 15, 14, 13, 12, 11, 10, 9], [30, 28, 26, 24, 22, 20, 18, 16, 14, 12],
+    [15, 14, 13, 12, 11, 10, 9, 8, 7, 6], [1100, 1000, 920, 840, 760, 700, 650, 600, 560, 520], [25, 23, 21, 19, 17, 16, 15, 14, 13, 12], [35, 33, 31, 29, 27, 25, 23, 21, 19, 17],
+]
+RATES = {(0, 0): 0.9408713362289174, (0, 6): 0.9271185534848777, (1, 3): 0.018023988502644868, (4, 9): 0.012615818433517693, (7, 6): 0.03450933077142074}
+
+
+def test_loess_known_rates():
+    err = loess_errors(np.array(TRANS + TRANS))
     assert err.shape == (16, 10) and ((err >= 1e-7) & (err <= 1)).all()
+    for at, rate in RATES.items():
+        assert err[at] == pytest.approx(rate, abs=1e-12)
 
 
 def test_denoiser_keeps_reads():
@@ -107,6 +116,20 @@ def test_sources_round_trip(spark, tmp_path):
     assert [(r.header, r.seq) for r in fasta.orderBy("ref_id").collect()] == [("one x", "ACGT"), ("two", "GG")]
 
 
+def test_streamed_uniques_equal_batch(spark, tmp_path):
+    from ampliflow.operators.reads import uniques
+    from ampliflow.streaming.reads import filter_stream, uniques_stream
+
+    reads = spark.createDataFrame([(i, "s" + str(i % 2), "ACGT" * (6 + i % 3), "I" * 4 * (6 + i % 3)) for i in range(40)], "read_id long, sample_id string, seq string, qual string")
+    reads.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(reads.schema).parquet(str(tmp_path / "in"))
+    q = uniques_stream(filter_stream(stream, min_len=25)).writeStream.outputMode("complete").format("memory").queryName("uniques_seen").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    want = uniques(filter_stream(reads, min_len=25)).select("sample_id", "seq", "abundance").toPandas()
+    assert rows(spark.table("uniques_seen").toPandas()) == rows(want) and len(want)
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
 
