@@ -102,7 +102,7 @@ def _filter(keys: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"part": rows["part"].slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
 
     whole = np.zeros((1 << part, 1 << 13), np.uint8)
-    for r in keys.select("key").mapInArrow(run, "part long, bits binary").groupBy("part").applyInArrow(either, "part long, bits binary").toLocalIterator():
+    for r in keys.select("key").mapInArrow(run, "part long, bits binary").groupBy("part").applyInArrow(either, "part long, bits binary").coalesce(8).toLocalIterator():
         whole[r.part] = np.frombuffer(r.bits, np.uint8)
     return whole.ravel()
 
