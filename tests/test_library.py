@@ -135,3 +135,17 @@ def test_entry_runs(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_command_line(spark, tmp_path):
+    from ampliflow.cli import main
+
+    seq = "ACGTTGCAAGTCCATGACGTTGCAAGTCCATGTTAGCCATGACCTTGAACGT"
+    (tmp_path / "a.fastq").write_text("".join(f"@r{i}\n{seq if i else 'N' * len(seq)}\n+\n{'I' * len(seq)}\n" for i in range(5)))
+    main(["filter-trim", str(tmp_path / "a.fastq"), str(tmp_path / "out"), "--max-ee", "1"])
+    stats = spark.read.csv(str(tmp_path / "out_stats"), sep="\t", header=True).collect()
+    assert [(r["sample"], r["reads_in"], r["reads_out"]) for r in stats] == [("a", "5", "4")]
+    (tmp_path / "q.fasta").write_text(f">q\n{seq}\n")
+    (tmp_path / "r.fasta").write_text(f">1 K;P\n{seq}\n>2 K;Q\n{seq[::-1]}\n")
+    main(["assign-taxonomy", str(tmp_path / "q.fasta"), str(tmp_path / "r.fasta"), str(tmp_path / "tax"), "--rounds", "10"])
+    assert [r.lineage for r in spark.read.csv(str(tmp_path / "tax"), sep="\t", header=True).collect()] == ["K;P"]
