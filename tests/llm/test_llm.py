@@ -284,6 +284,18 @@ def test_language_model_base(spark, docs, rows):
             assert math.isfinite(r.score) and r.score <= 0
 
 
+def test_language_model_without_class_words():
+    from ampliflow.llm.lm import CLASSES, PER_CLASS, SLOTS, Model
+
+    rng = np.random.default_rng(4)
+    token, begin = rng.integers(1 << 40, 1 << 62, 9000).astype(np.uint64), np.array([0, 9000])
+    for top in (np.zeros(0, np.uint64), np.arange(1, CLASSES * PER_CLASS + 1, dtype=np.uint64)):
+        model, seen = Model(top), (np.zeros(SLOTS), np.zeros(SLOTS))
+        model.update(token, begin, seen)
+        logp, open_ = model.log10(token, begin)
+        assert open_.all() and np.isfinite(logp).all() and (logp <= 0).all() and not model.inner.any()
+
+
 def test_fixity_audit(spark):
     from pyspark.sql import functions as F
 
