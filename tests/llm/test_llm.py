@@ -296,6 +296,20 @@ def test_language_model_without_class_words():
         assert open_.all() and np.isfinite(logp).all() and (logp <= 0).all() and not model.inner.any()
 
 
+@pytest.mark.parametrize("size", [1024, 50])
+def test_language_model_sums_to_one(size):
+    from ampliflow.llm.lm import SLOTS, Model
+
+    rng = np.random.default_rng(7)
+    top = np.arange(1, size + 1, dtype=np.uint64)
+    model, seen = Model(top), (np.zeros(SLOTS), np.zeros(SLOTS))
+    model.update(rng.integers(1, size + 200, 20_000).astype(np.uint64), np.array([0, 20_000]), seen)
+    before = np.array([3, 99, 1], np.uint64)
+    text = np.concatenate([np.append(before, w) for w in [*top, np.uint64(10**9)]])  # each class word once, then the open class
+    logp, _ = model.log10(text, np.arange(0, len(text) + 1, 4))
+    assert (10 ** logp[3::4]).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_fixity_audit(spark):
     from pyspark.sql import functions as F
 
