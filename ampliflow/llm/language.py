@@ -26,7 +26,7 @@ SEGMENT = 24
 HIDDEN = 16
 STEPS, BATCH, STEP_SIZE = 400, 384, 0.02
 PER_LANGUAGE, PER_DOC, LANGUAGES = 400, 300, 256
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
