@@ -6,9 +6,11 @@ and those without a label, link with nothing. Vectors of one direction form a
 class beforehand. A forest of random projections gives first neighbour lists;
 rounds of NN-descent refine them: all members of a vector's list and reverse
 list meet. A brute-force audit of some vectors against all measures recall,
-and rounds go on while it is below ``RECALL``. Where lists are saturated with
-links, they are enlarged to all members that links connect, compared in
-blocks; there also every link is confirmed in double precision.
+and rounds go on while it is below ``RECALL``. The members
+that links connect make a group. A list that is full of links may lack others:
+a group with such a list is joined with every group whose ball (around its
+least id) has one of its members within reach of a link, so no link between
+them is lost. Groups are compared in blocks, in double precision.
 
 Result: a row per vector: vec_id, n_links, component_id, kept. Null ids have
 null components and are kept. Repeated rows count as vectors of their own.
@@ -32,6 +34,7 @@ NEIGHBOURS, TREES, LEAF = 10, 6, 128
 CHUNK = 512  # members of a leaf compared at a time
 BLOCK = 2048  # members of a group of links compared at a time
 LEAST_ROUNDS, MOST_ROUNDS, RECALL, AUDITED = 1, 4, 0.99, 200
+ANGLE = float(np.arccos(THRESHOLD))
 SLACK = 1e-5  # of single precision
 
 
@@ -112,6 +115,40 @@ def _lists(found: DataFrame) -> DataFrame:
     return best.select("id", F.explode("l").alias("x")).select("id", "x.near", "x.sim")
 
 
+def _within_reach(members: DataFrame, lists: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of groups of members(group, id, space, unit) with full lists, where a member of a may link with one of b."""
+    full = lists.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("least")).filter((F.col("n") >= NEIGHBOURS) & (F.col("least") >= THRESHOLD - SLACK))
+    groups = members.join(full, "id", "left_semi").select("group").distinct()
+    some = scratch.save(members.join(groups, "group", "left_semi").select("space", "group", "id", "unit"), "full")
+    centres = some.filter("id = group").select("group", F.col("unit").alias("centre"))
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                pairs = zip(batch.column("unit").to_pylist(), batch.column("centre").to_pylist(), strict=True)
+                cos = np.array([np.dot(np.frombuffer(u), np.frombuffer(c)) for u, c in pairs])
+                yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["group", "angle"])
+
+    radius = some.join(centres, "group").select("group", "unit", "centre").mapInArrow(angles, "group long, angle double").groupBy("group").agg(F.max("angle").alias("radius"))
+    balls = scratch.save(some.filter("id = group").join(radius, "group"), "balls")
+    n = balls.groupBy("space").agg(F.ceil(F.count("*") / BLOCK).alias("balls")).join(some.groupBy("space").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "space")
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    asked = some.join(n, "space").select("space", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("i"), each("balls").alias("j"), "group", "unit", F.lit(-1.0).alias("radius"))
+    asked = asked.unionByName(balls.join(n, "space").select("space", each("blocks").alias("i"), F.pmod(F.xxhash64("group"), F.col("balls")).alias("j"), "group", "unit", "radius"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 3):
+            group, radius, unit = rows["group"].to_numpy(), rows["radius"].to_numpy(), _matrix(rows["unit"])
+            x, c = np.flatnonzero(radius < 0), np.flatnonzero(radius >= 0)
+            if len(x) and len(c):
+                near = unit[x] @ unit[c].T >= np.cos(np.minimum(radius[c] + ANGLE + SLACK, np.pi))
+                a, b = np.nonzero(near & (group[x][:, None] != group[c]))
+                pair = np.unique(np.sort(np.stack([group[x][a], group[c][b]], 1), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+    return asked.repartition("space", "i", "j").sortWithinPartitions("space", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def _audit(reps: DataFrame, lists: DataFrame) -> float:
     """Recall of the lists for some vectors: of the links (as many as a list holds) that brute force finds."""
     some = reps.orderBy(F.xxhash64("id"), "id").select("id", "space", "unit").limit(AUDITED).toArrow()
@@ -162,6 +199,15 @@ def _confirm(members: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "kind int, id long, value long")
 
 
+def _groups(reps: DataFrame, lists: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """(id, group) of the vectors that links of the lists connect, groups within reach of each other made one."""
+    near = lists.filter(F.col("sim") >= THRESHOLD - SLACK).select(F.col("id").alias("a"), F.col("near").alias("b"))
+    groups = components(near, scratch, f"groups{k}").withColumnRenamed("component", "group")
+    reach = _within_reach(groups.join(reps.select("id", "space", "unit"), "id"), lists, scratch)
+    joined = components(reach, scratch, f"joined{k}").withColumnsRenamed({"id": "group", "component": "to"})
+    return groups.join(joined, "group", "left").select("id", F.coalesce("to", "group").alias("group"))
+
+
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors(vec_id, embedding, label)``."""
     scratch = Scratch(vectors.sparkSession)
@@ -185,8 +231,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         met = around.join(reps.select(F.col("id").alias("near"), "unit"), "near").select("at", F.col("near").alias("id"), "unit")
         found = _meet(met.repartition("at").sortWithinPartitions("at"), 1, 4)
         lists = scratch.save(_lists(lists.unionByName(found)), f"lists{k}")
-    near = lists.filter(F.col("sim") >= THRESHOLD - SLACK).select(F.col("id").alias("a"), F.col("near").alias("b"))
-    groups = components(near, scratch, "groups").withColumnRenamed("component", "group")
+    groups = _groups(reps, lists, scratch, k)
     members = scratch.save(groups.join(reps.select("id", "unit", "weight"), "id"), "members")
     blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     seen = scratch.save(_confirm(members.join(blocks, "group")), "links")

@@ -213,6 +213,24 @@ def test_vectors_against_brute_force(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == want
 
 
+def brute_links(units):
+    link = units @ units.T >= 0.93
+    np.fill_diagonal(link, False)
+    return link
+
+
+def test_vectors_of_two_tight_clusters(spark):
+    from ampliflow.llm.vectors import near_vectors
+
+    rng = np.random.default_rng(12)
+    centre = np.eye(24)[0], np.array([0.944, math.sqrt(1 - 0.944**2)] + [0] * 22)
+    x = np.concatenate([c + 0.004 * rng.normal(size=(30, 24)) for c in centre])
+    link = brute_links(x / np.linalg.norm(x, axis=1)[:, None])
+    assert link.all(1, where=~np.eye(60, dtype=bool)).all()
+    out = near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in out} == {(59, 0)} and sum(r.kept for r in out) == 1
+
+
 def test_urls(spark):
     from ampliflow.llm.urls import filter_urls
 
