@@ -4,13 +4,15 @@ Only vectors of one label (and length) are compared, by cosine in double
 precision; vectors that are null, zero or hold null or non-finite components,
 and those without a label, link with nothing. Vectors of one direction form a
 class beforehand. A forest of random projections gives first neighbour lists;
-rounds of NN-descent refine them: all members of a vector's list and reverse
-list meet. A brute-force audit of some vectors against all measures recall,
-and rounds go on while it is below ``RECALL``. The members
-that links connect make a group. A list that is full of links may lack others:
-a group with such a list is joined with every group whose ball (around its
-least id) has one of its members within reach of a link, so no link between
-them is lost. Groups are compared in blocks, in double precision.
+a round of NN-descent refines them: all members of a vector's list and reverse
+list meet. The members that links connect make a group. A list that is full of
+links may lack others: a group with such a list is joined with every group
+whose ball (around its least id) has one of its members within reach of a link,
+so no link between them is lost. Groups are compared in blocks, in double precision.
+
+A brute-force audit of some vectors compares all their links with those found.
+While it finds less than ``RECALL``, twice as many trees follow; after
+``PASSES`` all vectors of a label are compared in blocks.
 
 Result: a row per vector: vec_id, n_links, component_id, kept. Null ids have
 null components and are kept. Repeated rows count as vectors of their own.
@@ -30,10 +32,11 @@ from pyspark.sql import types as T
 from .common import Scratch, annotate, components, numbers, runs
 
 THRESHOLD = 0.93
-NEIGHBOURS, TREES, LEAF = 10, 6, 128
-CHUNK = 512  # members of a leaf compared at a time
-BLOCK = 2048  # members of a group of links compared at a time
-LEAST_ROUNDS, MOST_ROUNDS, RECALL, AUDITED = 1, 4, 0.99, 200
+NEIGHBOURS, LEAF = 10, 128
+BLOCK = 2048  # members of a leaf or of a group of links compared at a time
+MISSED = 1e-3  # share of pairs at the threshold that share no leaf
+PASSES, RECALL = 3, 0.99
+AUDITED, MOST_AUDITED, WITH_LINKS = 1024, 16384, 100
 ANGLE = float(np.arccos(THRESHOLD))
 SLACK = 1e-5  # of single precision
 
@@ -58,17 +61,24 @@ def _units(vectors: DataFrame) -> DataFrame:
     return annotate(vectors, [T.StructField("unit", T.BinaryType()), T.StructField("digest", T.BinaryType()), T.StructField("dim", T.IntegerType())], run, only=["vec_id", "label"])
 
 
-def _planes(dim: int, bits: int) -> np.ndarray:
+def _trees(bits: int, k: int) -> int:
+    """Trees of pass ``k``: in those of the first, all but ``MISSED`` of the pairs at the threshold share a leaf."""
+    share = (1 - ANGLE / np.pi) ** bits
+    return 1 if share == 1 else int(np.ceil(np.log(MISSED) / np.log(1 - share))) << k
+
+
+def _planes(dim: int, bits: int, k: int) -> np.ndarray:
     """Random directions: (trees * bits, dim), each component a sum of uniform numbers."""
-    u = (numbers(TREES * bits * dim * 4, 77) >> np.uint64(11)).astype(np.float64) / 2**53
-    return (u.reshape(-1, 4).sum(1) - 2).reshape(TREES * bits, dim)
+    n = _trees(bits, k) * bits
+    u = (numbers(n * dim * 4, 77 + k) >> np.uint64(11)).astype(np.float64) / 2**53
+    return (u.reshape(-1, 4).sum(1) - 2).reshape(n, dim)
 
 
 def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(len(col), -1)
 
 
-def _leaves(reps: DataFrame) -> DataFrame:
+def _leaves(reps: DataFrame, k: int) -> DataFrame:
     """reps(id, space, unit, n) with (tree, leaf): n is the number of vectors of the space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +89,12 @@ def _leaves(reps: DataFrame) -> DataFrame:
             for dim, b in set(zip(size.tolist(), bits.tolist(), strict=True)):
                 rows = np.flatnonzero((size == dim) & (bits == b))
                 part = batch.take(pa.array(rows))
-                code = np.zeros((len(rows), TREES), np.int64)
+                trees = _trees(b, k)
+                code = np.zeros((len(rows), trees), np.int64)
                 if b:
-                    sides = (_matrix(part.column("unit")) @ _planes(dim, b).T > 0).reshape(len(rows), TREES, b)
+                    sides = (_matrix(part.column("unit")) @ _planes(dim, b, k).T > 0).reshape(len(rows), trees, b)
                     code = (sides * (1 << np.arange(b))).sum(2)
-                for t in range(TREES):
+                for t in range(trees):
                     yield pa.RecordBatch.from_arrays([part.column("space"), pa.array(np.full(len(rows), t, np.int32)), pa.array(code[:, t]), part.column("id"), part.column("unit")], names=["space", "tree", "leaf", "id", "unit"])
 
     return reps.select("id", "space", "unit", "n").mapInArrow(run, "space long, tree int, leaf long, id long, unit binary")
@@ -111,10 +122,17 @@ def _meet(groups: DataFrame, keys: int, k: int) -> DataFrame:
 
 def _lists(found: DataFrame) -> DataFrame:
     """The nearest neighbours of each vector: (id, near, sim)."""
-    best = found.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("sim", "near")), False), 1, NEIGHBOURS).alias("l"))
+    once = found.repartition("id").groupBy("id", "near").agg(F.max("sim").alias("sim"))
+    best = once.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "near")), False), 1, NEIGHBOURS).alias("l"))
     return best.select("id", F.explode("l").alias("x")).select("id", "x.near", "x.sim")
 
 
+def _in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(*keys, blocks, id, ...) once for each pair of blocks i <= j that ``id``'s own block x is in."""
+    spread = rows.withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return spread.withColumns({"i": F.least("x", "y"), "j": F.greatest("x", "y")}).drop("y", "blocks").repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "id")
+
+
 def _within_reach(members: DataFrame, lists: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of groups of members(group, id, space, unit) with full lists, where a member of a may link with one of b."""
     full = lists.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("least")).filter((F.col("n") >= NEIGHBOURS) & (F.col("least") >= THRESHOLD - SLACK))
@@ -149,32 +167,41 @@ def _within_reach(members: DataFrame, lists: DataFrame, scratch: Scratch) -> Dat
     return asked.repartition("space", "i", "j").sortWithinPartitions("space", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _audit(reps: DataFrame, lists: DataFrame) -> float:
-    """Recall of the lists for some vectors: of the links (as many as a list holds) that brute force finds."""
-    some = reps.orderBy(F.xxhash64("id"), "id").select("id", "space", "unit").limit(AUDITED).toArrow()
-    asked = reps.sparkSession.sparkContext.broadcast((some["id"].to_numpy(), some["space"].to_numpy(), some["unit"].to_pylist()))
+def _audit(reps: DataFrame, links: DataFrame) -> float:
+    """Least mean share of all links of a vector that links(id, linked) holds: over audited vectors with links, and over those with few.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, spaces, units = asked.value
-        for batch in batches:
-            space, own = batch.column("space").to_numpy(), batch.column("id").to_numpy()
-            for s in np.unique(spaces):
-                rows, q = np.flatnonzero(space == s), np.flatnonzero(spaces == s)
-                if len(rows):
+    More vectors are asked until WITH_LINKS with few links are among them, all are asked, or MOST_AUDITED.
+    """
+    total, asking = reps.count(), AUDITED
+    while True:
+        some = reps.orderBy(F.xxhash64("id"), "id").select("id", "space", "unit").limit(asking).toArrow()
+        asked = reps.sparkSession.sparkContext.broadcast((some["id"].to_numpy(), some["space"].to_numpy(), some["unit"].to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            ids, spaces, units = asked.value
+            for batch in batches:
+                space, own, weight = (batch.column(c).to_numpy() for c in ("space", "id", "weight"))
+                for s in np.intersect1d(spaces, space):
+                    rows, q = np.flatnonzero(space == s), np.flatnonzero(spaces == s)
                     x = _matrix(batch.column("unit").take(pa.array(rows)))
-                    a, b = np.nonzero(np.stack([np.frombuffer(units[k]) for k in q]) @ x.T >= THRESHOLD)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q][a]), pa.array(own[rows][b])], names=["id", "near"])
+                    for lo in range(0, len(q), 1024):
+                        part = q[lo : lo + 1024]
+                        link = (np.stack([np.frombuffer(units[k]) for k in part]) @ x.T >= THRESHOLD) & (ids[part][:, None] != own[rows])
+                        n, w = link.sum(1), link @ weight[rows].astype(np.float64)
+                        k = np.flatnonzero(n)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[part][k]), pa.array(n[k]), pa.array(w[k].astype(np.int64))], names=["id", "n", "w"])
 
-    true = reps.select("id", "space", "unit").mapInArrow(run, "id long, near long").filter("id <> near").groupBy("id").agg(F.count("*").alias("n"))
-    got = lists.filter(F.col("sim") >= THRESHOLD - SLACK).groupBy("id").agg(F.count("*").alias("m"))
-    sums = true.join(got, "id", "left").agg(F.sum(F.least("n", F.lit(NEIGHBOURS))).alias("n"), F.sum(F.least(F.coalesce("m", F.lit(0)), "n", F.lit(NEIGHBOURS))).alias("m")).first()
-    return sums.m / sums.n if sums.n else 1.0
+        true = reps.select("id", "space", "unit", "weight").mapInArrow(run, "id long, n long, w long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+        share = F.least(F.coalesce("linked", F.lit(0)) / F.col("w"), F.lit(1.0))
+        got = true.join(links, "id", "left").agg(F.avg(share).alias("all"), F.avg(F.when(F.col("n") <= NEIGHBOURS, share)).alias("few"), F.count_if(F.col("n") <= NEIGHBOURS).alias("n")).first()
+        if got.n >= WITH_LINKS or asking >= min(total, MOST_AUDITED):
+            return min([x for x in (got["all"], got["few"]) if x is not None], default=1.0)
+        asking *= 4
 
 
 def _confirm(members: DataFrame) -> DataFrame:
     """members(group, blocks, id, unit, weight): per block pair, rows (kind 0: id, weight of its links) and (kind 1: edges of a forest of links)."""
-    spread = members.withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("group", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "unit", "weight").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "id")
+    spread = _in_blocks(members.select("group", "blocks", "id", "unit", "weight"), ["group"]).select("group", "i", "j", "x", "id", "unit", "weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, 3):
@@ -199,6 +226,25 @@ def _confirm(members: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "kind int, id long, value long")
 
 
+def _search(reps: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Neighbour lists from the trees of pass ``k``."""
+    leaves = scratch.save(_leaves(reps, k), f"leaves{k}")
+    sizes = leaves.groupBy("space", "tree", "leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    groups = _in_blocks(leaves.join(sizes, ["space", "tree", "leaf"]), ["space", "tree", "leaf"]).select("space", "tree", "leaf", "i", "j", "id", "unit")
+    return _lists(_meet(groups, 5, NEIGHBOURS))
+
+
+def _refined(reps: DataFrame, found: DataFrame, old: DataFrame | None) -> DataFrame:
+    """A round of NN-descent over the lists found and the old ones."""
+    scratch = Scratch(reps.sparkSession)
+    lists = scratch.save(_lists(found.unionByName(old)) if old is not None else found, "lists")
+    back = _lists(lists.select(F.col("near").alias("id"), F.col("id").alias("near"), "sim"))
+    around = lists.select("id", "near").unionByName(back.select("id", "near")).distinct().withColumnRenamed("id", "at")
+    around = around.unionByName(reps.select(F.col("id").alias("at"), F.col("id").alias("near")))
+    met = around.join(reps.select(F.col("id").alias("near"), "unit"), "near").select("at", F.col("near").alias("id"), "unit")
+    return _lists(lists.unionByName(_meet(met.repartition("at").sortWithinPartitions("at"), 1, 4)))
+
+
 def _groups(reps: DataFrame, lists: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """(id, group) of the vectors that links of the lists connect, groups within reach of each other made one."""
     near = lists.filter(F.col("sim") >= THRESHOLD - SLACK).select(F.col("id").alias("a"), F.col("near").alias("b"))
@@ -218,24 +264,19 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     first = good.select("space", "digest", F.col("vec_id").alias("id"), "unit").dropDuplicates(["space", "digest", "id"])
     reps = scratch.save(classes.join(first, ["space", "digest", "id"]).join(per, "space").select("id", "space", "unit", "weight", "n"), "reps")
 
-    leaves = scratch.save(_leaves(reps), "leaves")
-    sizes = leaves.groupBy("space", "tree", "leaf").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    groups = leaves.join(sizes, ["space", "tree", "leaf"]).select("space", "tree", "leaf", F.pmod(F.xxhash64("id", "tree"), F.col("chunks")).alias("chunk"), "id", "unit")
-    lists = scratch.save(_lists(_meet(groups.repartition("space", "tree", "leaf", "chunk").sortWithinPartitions("space", "tree", "leaf", "chunk"), 4, NEIGHBOURS)), "lists0")
-    for k in range(1, MOST_ROUNDS + 1):
-        if k > LEAST_ROUNDS and _audit(reps, lists) >= RECALL:
+    lists = None
+    for k in range(PASSES + 1):
+        if k == PASSES:  # all vectors of a space
+            groups = reps.join(reps.groupBy("space").agg(F.min("id").alias("group")), "space").select("id", "group")
+        else:
+            lists = scratch.save(_refined(reps, _search(reps, k, scratch), lists), f"lists{k}")
+            groups = _groups(reps, lists, scratch, k)
+        members = scratch.save(groups.join(reps.select("id", "unit", "weight"), "id"), f"members{k}")
+        blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        seen = scratch.save(_confirm(members.join(blocks, "group")), f"links{k}")
+        links = seen.filter("kind = 0").groupBy("id").agg(F.sum("value").alias("linked"))
+        if k == PASSES or _audit(reps, links) >= RECALL:
             break
-        back = _lists(lists.select(F.col("near").alias("id"), F.col("id").alias("near"), "sim"))
-        around = lists.select("id", "near").unionByName(back.select("id", "near")).distinct().withColumnRenamed("id", "at")
-        around = around.unionByName(reps.select(F.col("id").alias("at"), F.col("id").alias("near")))
-        met = around.join(reps.select(F.col("id").alias("near"), "unit"), "near").select("at", F.col("near").alias("id"), "unit")
-        found = _meet(met.repartition("at").sortWithinPartitions("at"), 1, 4)
-        lists = scratch.save(_lists(lists.unionByName(found)), f"lists{k}")
-    groups = _groups(reps, lists, scratch, k)
-    members = scratch.save(groups.join(reps.select("id", "unit", "weight"), "id"), "members")
-    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    seen = scratch.save(_confirm(members.join(blocks, "group")), "links")
-    links = seen.filter("kind = 0").groupBy("id").agg(F.sum("value").alias("linked"))
     of = components(seen.filter("kind = 1").select(F.col("id").alias("a"), F.col("value").alias("b")), scratch, "components")
     known = classes.join(links, "id", "left").join(of, "id", "left").select("space", "digest", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("of"))
     ok = rows.withColumn("digest", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull(), F.col("digest")))

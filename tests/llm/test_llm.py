@@ -231,6 +231,23 @@ def test_vectors_of_two_tight_clusters(spark):
     assert {(r.n_links, r.component_id) for r in out} == {(59, 0)} and sum(r.kept for r in out) == 1
 
 
+def test_vectors_isolated_pairs_in_many_leaves(spark):
+    from ampliflow.llm.vectors import near_vectors
+
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(12_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(300, 32))
+    side -= (side * x[:300]).sum(1)[:, None] * x[:300]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    c = rng.uniform(0.931, 0.95, 300)[:, None]
+    x[300:600] = c * x[:300] + np.sqrt(1 - c * c) * side
+    want = brute_links(x).sum(1)
+    out = near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    got = np.array([r.n_links for r in sorted(out, key=lambda r: r.vec_id)])
+    assert want.sum() >= 600 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
 def test_urls(spark):
     from ampliflow.llm.urls import filter_urls
 
