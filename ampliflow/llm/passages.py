@@ -4,9 +4,9 @@ Suffixes are retained where the hash of ``GRAM`` words is least among
 ``SPAN`` neighbouring positions, so equal passages retain equal suffixes. A
 first pass counts the suffixes' first ``HEAD`` words; a second sends those
 that several documents have, with their extensions by 0 to ``SPAN - 1`` words
-to the left (and what is missing to ``LENGTH`` to the right). These are sorted
-inside a suffix's group and neighbours compared: equal ones of different
-documents are shared passages, and their union are maximal ones. Any window of
+to the left (and what is missing to ``LENGTH`` to the right). Heads and windows
+are compared by 64-bit hashes: these are sorted inside a suffix's group, and
+equal ones of different documents are shared passages, and their union are maximal ones. Any window of
 ``LENGTH`` words holds a retained suffix, so none is missed. Groups of more
 than ``HOT`` suffixes are counted by aggregation instead of in a task.
 
@@ -65,14 +65,14 @@ class Suffixes:
         return self.range(self.at, HEAD).view(np.int64)
 
     def windows(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """32-bit hashes of the LENGTH words from each l to the left, and which of them lie in the text (as bits)."""
+        """64-bit hashes of the LENGTH words from each l to the left, and which of them lie in the text (as bits)."""
         at = self.at[some]
         lo, hi = self.first[:-1][self.doc[at]], self.first[1:][self.doc[at]]
-        out, valid = np.zeros((len(at), SPAN), np.uint32), np.zeros(len(at), np.int64)
+        out, valid = np.zeros((len(at), SPAN), np.uint64), np.zeros(len(at), np.int64)
         for left in range(SPAN):
             begin = at - left
             ok = (begin >= lo) & (begin + LENGTH <= hi)
-            out[ok, left] = self.range(begin[ok], LENGTH) >> np.uint64(32)
+            out[ok, left] = self.range(begin[ok], LENGTH)
             valid |= ok.astype(np.int64) << left
         return out, valid
 
@@ -89,8 +89,8 @@ def _filter(keys: DataFrame, bits: int) -> np.ndarray:
         got = [_slot(b.column(0).to_numpy(), bits) for b in batches if b.num_rows]
         slot = np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
         of = (slot >> np.uint64(16)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(of, prepend=-1)) if len(of) else []
-        for lo, hi in zip(cut, [*cut[1:], len(of)], strict=True):
+        cut = np.flatnonzero(np.diff(of, prepend=-1))
+        for lo, hi in zip(cut, np.append(cut, len(of))[1:], strict=True):
             flags = np.zeros(1 << 16, bool)
             flags[(slot[lo:hi] & np.uint64(0xFFFF)).astype(np.int64)] = True
             yield pa.RecordBatch.from_arrays([pa.array([of[lo]], pa.int64()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["part", "bits"])
@@ -110,13 +110,13 @@ def _filter(keys: DataFrame, bits: int) -> np.ndarray:
 def _shared(rows: pa.Table) -> pa.RecordBatch:
     """Of suffixes of whole groups: those with windows that another document has, and which (as bits)."""
     key, doc, at, valid = (rows[c].to_numpy() for c in ("key", "doc_id", "at", "valid"))
-    win = np.frombuffer(b"".join(rows["windows"].to_pylist()), np.uint32).reshape(-1, SPAN)
+    win = np.frombuffer(b"".join(rows["windows"].to_pylist()), np.uint64).reshape(-1, SPAN)
     mask = np.zeros(len(key), np.int64)
     for left in range(SPAN):
         some = np.flatnonzero(valid >> left & 1)
         if len(some) > 1:
             order = some[np.lexsort((win[some, left], key[some]))]
-            first = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(win[order, left].astype(np.int64)) != 0)))
+            first = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(win[order, left]) != 0)))
             d = doc[order]
             several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
             mask[order] |= np.repeat(several, np.diff(np.append(first, len(order)))).astype(np.int64) << left
@@ -171,11 +171,11 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            win = np.frombuffer(b"".join(batch.column("windows").to_pylist()), np.uint32).reshape(-1, SPAN)
+            win = np.frombuffer(b"".join(batch.column("windows").to_pylist()), np.uint64).reshape(-1, SPAN)
             key, doc, at, valid = (batch.column(c).to_numpy() for c in ("key", "doc_id", "at", "valid"))
             for left in range(SPAN):
                 k = np.flatnonzero(valid >> left & 1)
-                hashed = mix(key[k].view(np.uint64) + win[k, left].astype(np.uint64) * np.uint64(_STEP) + np.uint64(left)).view(np.int64)
+                hashed = mix(key[k].view(np.uint64) + win[k, left] * np.uint64(_STEP) + np.uint64(left)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(doc[k]), pa.array(at[k]), pa.array(np.full(len(k), 1 << left))], names=["window", "doc_id", "at", "mask"])
 
     large = often.filter(F.col("n") > hot).select("key")

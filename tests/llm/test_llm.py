@@ -100,6 +100,15 @@ def test_passages_small_and_hot(docs, rows):
         assert {r.doc_id: r.n_shared for r in shared_passages(docs, hot=hot).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [100_000, 1000])
+def test_passages_around_a_common_text(spark, hot):
+    from ampliflow.llm.passages import shared_passages
+
+    common = " ".join(f"common{k}" for k in range(49))
+    docs = spark.range(60_000, numPartitions=4).selectExpr("id AS doc_id", f"concat_ws(' ', {', '.join(f'concat(id, chr({97 + k}))' for k in range(8))}, '{common}', {', '.join(f'concat(id, chr({105 + k}))' for k in range(8))}) AS text")
+    assert shared_passages(docs, hot=hot).count() == 0
+
+
 def test_decontamination_by_windows(spark, docs, rows):
     from ampliflow.llm.decontaminate import decontaminate
 
