@@ -293,7 +293,7 @@ SELECT query, arg_min(genus, (-score, genus)) AS genus FROM o GROUP BY query"""
 
 
 def nb_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.bootstrap(seqtab_long(spark, sf_dir).filter("abundance >= 5").select("seq").distinct(), _reference(spark, sf_dir), rounds=20)
+    return T.bootstrap(seqtab_long(spark, sf_dir).select("seq").distinct(), _reference(spark, sf_dir))
 
 
 def bimera_ungapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,7 +402,7 @@ def err_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learned_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.error_rows(spark, D.learn_errors(R.dereplicate(filtered(spark, sf_dir)), bases=200_000, rounds=3))
+    return D.error_rows(spark, D.learn_errors(R.dereplicate(filtered(spark, sf_dir))))
 
 
 def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Queries against their SQL on the smallest tables, kernels against goldens and slow models, sources in a round trip."""
 
+import functools
 import glob
 import math
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ampliflow import queries as library
 from ampliflow.kernels import align as A
@@ -34,6 +37,51 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(library.queries()[name](spark, SF).toPandas()) == rows(duck.execute(library.oracle_sql()[name]).df())
 
 
+def test_bootstrap_query_equals_plain_python(spark):
+    refs = [(r.genus, r.seq) for r in library._reference(spark, SF).collect()]
+    kmers = lambda s: [s[i : i + 8] for i in range(len(s) - 7)]
+    genera = sorted({g for g, _ in refs})
+    size = [sum(g == h for h, _ in refs) for g in genera]
+    known = [(genera.index(g), w) for g, s in refs for w in set(kmers(s))]
+    n, seen = Counter(known), Counter(w for _, w in known)
+
+    @functools.cache
+    def gains(w):
+        prior = (seen[w] + 0.5) / (len(refs) + 1)
+        return np.array([math.log((n[g, w] + prior) / (m + 1)) - math.log(prior) for g, m in enumerate(size)])
+
+    best = lambda ws: genera[int(np.argmax(np.round(sum(gains(w) for w in ws), 9)))]
+    asked = [r.seq for r in library.seqtab_long(spark, SF).select("seq").distinct().collect() if len(r.seq) >= 50]
+    draws = spark.createDataFrame([(s,) for s in asked], "query string").selectExpr("query", "explode(sequence(1, 100)) AS round")
+    draws = draws.selectExpr("query", "transform(sequence(1, cast(floor(length(query) / 8) AS int)), d -> cast(pmod(xxhash64(query, round, d), length(query) - 7) AS int)) AS at").collect()
+    full, boot = {s: best(kmers(s)) for s in asked}, Counter()
+    for r in draws:
+        boot[r.query] += best([r.query[i : i + 8] for i in r["at"]]) == full[r.query]
+    want = sorted((s, full[s], boot[s]) for s in asked)
+    assert sorted((r["query"], r.genus, r.boot) for r in library.nb_bootstrap(spark, SF).collect()) == want
+
+
+def test_learned_errors_query_equals_plain_python(spark, monkeypatch):
+    from ampliflow.kernels.errors import initial_errors
+    from ampliflow.operators import reads as R
+
+    r = library.reads(spark, SF)
+    more = r.crossJoin(spark.range(8)).withColumn("read_id", r.read_id * 8 + F.col("id")).drop("id")
+    monkeypatch.setattr(library, "reads", lambda *_: more)  # more than 200,000 bases
+    uniques = R.dereplicate(library.filtered(spark, SF)).toPandas()
+    assert (uniques.abundance * uniques.seq.str.len()).sum() > 200_000
+    samples = [p.sort_values("uniq_idx") for _, p in uniques.groupby("sample_id")]
+    err, seen = initial_errors(int(np.floor(max(max(q) for q in uniques.quals) + 0.5)) + 1), []
+    for k in range(11):
+        o = Options(omega_c=0, max_clust=1) if k == 0 else Options(omega_c=0)
+        err = loess_errors(sum(Sample(p["seq"].tolist(), p["abundance"].tolist(), p["quals"].tolist(), err, o, None).run()["trans"] for p in samples))
+        if any(np.array_equal(err, e) for e in seen):
+            break
+        seen.append(err)
+    got = {("ACGT".index(r.from_nt) * 4 + "ACGT".index(r.to_nt), r.q): r.rate for r in library.learned_errors(spark, SF).collect()}
+    assert len(got) == err.size and all(got[i, q] == pytest.approx(err[i, q], rel=1e-9) for i, q in got)
+
+
 def slow_align(a, b, match, mismatch, gap):
     n, m = len(a), len(b)
     d = [[0] * (m + 1) for _ in range(n + 1)]
