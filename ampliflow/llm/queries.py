@@ -21,7 +21,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
     out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return out.drop("item_ids")
+    return out.drop("item_ids", "n_whole")
 
 
 ORACLES["op8_decontaminate"] = r"""

@@ -131,11 +131,26 @@ def test_decontamination_by_windows(spark, docs, rows):
                     hit |= set(range(k, k + n))
                     got |= wins[x]
         want.append((r[0], len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    for size in (1 << 20, 300):
-        out = decontaminate(docs, bench, block_bytes=size).collect() if size > 1000 else decontaminate(docs, bench).collect()
+    for sizes in ({}, {"block_bytes": 300}, {"block_bytes": 300, "part_bytes": 900}):
+        out = decontaminate(docs, bench, **sizes).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out) == sorted(want)
 
 
+def test_decontamination_edges(spark):
+    from ampliflow.llm.decontaminate import decontaminate
+
+    words = [f"w{k}" for k in range(5000)]
+    passage = " ".join(f"q{k}" for k in range(13))
+    data = [(1, " ".join([*words[:2500], passage, *words[2500:]]), 9), (2, " ".join(words), 9), (3, None, None), (4, "", 9), (4, "", 9)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, N_Hit int")
+    bench = spark.createDataFrame([(7, passage), (8, "Q5"), (8, "none of it")], "item_id long, text string")
+    out = {r.doc_id: r for r in decontaminate(docs, bench).collect()}
+    assert (out[1].n_hit, out[1].n_whole, out[1].contaminated, out[1].item_ids) == (13, 1, False, ["7", "8"])
+    assert [out[k].n_hit for k in (2, 3, 4)] == [0, 0, 0] and out[4].n_words == 0
+    assert decontaminate(docs.limit(0), bench).collect() == []
+    assert {r.n_items for r in decontaminate(docs, bench.limit(0)).collect()} == {0}
+
+
 def test_packing_round_trip(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
