@@ -44,8 +44,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that hold less than a twentieth of their words from the benchmark."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*docs.columns)
+    """Keep documents without a whole window (13 words) of the benchmark, and with less than a twentieth of their words from shorter items."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated") & (F.col("n_whole") == 0)).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
