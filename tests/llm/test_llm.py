@@ -100,6 +100,19 @@ def test_passages_small_and_hot(docs, rows):
         assert {r.doc_id: r.n_shared for r in shared_passages(docs, hot=hot).collect()} == want
 
 
+def test_passages_edges(spark):
+    from ampliflow.llm.passages import shared_passages
+
+    long = " ".join(f"{'x' * 40}{k}" for k in range(60))
+    names = [f"n{k}" for k in range(200)]
+    data = [(1, long, 5), (2, "Other " + long, 5), (3, " ".join(names[:55]), 5), (3, " ".join(names[:55]), 5), (4, " ".join(names[100:]), 5), (None, long, 5), (5, None, 5), (6, "", 5)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, key int")
+    for hot in (100_000, 1):
+        assert {(r.doc_id, r.n_shared, r.passages) for r in shared_passages(docs, hot=hot).collect()} == {(1, 60, "0:60"), (2, 60, "1:61")}
+    assert shared_passages(docs.limit(0)).collect() == []
+    assert shared_passages(docs.filter("doc_id IN (3, 4)")).collect() == []
+
+
 @pytest.mark.parametrize("hot", [100_000, 1000])
 def test_passages_around_a_common_text(spark, hot):
     from ampliflow.llm.passages import shared_passages
