@@ -26,15 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Written tables that cut lineage, in the folder all executors share (``spark.checkpoint.dir``)."""
+    """Written tables that cut lineage, in the folder all executors share (``spark.checkpoint.dir``); removed when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.gettempdir() + "/ampliflow-scratch"
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+        path, files = self._path("")
+        files.deleteOnExit(path)
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -43,8 +51,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(name)
+            files.delete(path, True)
 
 
 def annotate(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], dict], only: list[str] | None = None) -> DataFrame:
@@ -169,25 +177,20 @@ FOREST_EDGES = 2_000_000  # edges (16 bytes each) that one task may hold to fini
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of a partition: each node with the root of its tree."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while (up := parent.setdefault(top, top)) != top:
-            top = up
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(root, nodes), pa.int64())], names=["a", "b"])
+    """Components of the edges of a partition: each node with the least of its component. Roots hook onto lesser neighbours, then paths are halved."""
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if not held:
+        return
+    nodes, code = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    a, b = code.reshape(2, -1)
+    up = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up, two := up[up]):
+            up = two
+        a, b = up[a], up[b]
+        a, b = a[a != b], b[a != b]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], names=["a", "b"])
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, most: int = FOREST_EDGES) -> DataFrame:
@@ -201,11 +204,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most: int = FOREST
     union-find in one task.
     """
     now = scratch.save(edges.filter("a <> b").select("a", "b"), f"{name}-edges0")
-    labels = None
-    for k in range(1, 100):
-        n = now.count()
-        if n <= most:
-            break
+    labels, k = None, 0
+    while (n := now.count()) > most:
+        k += 1
         rank = lambda c, k=k: F.struct(F.xxhash64(F.lit(k), c).alias("rank"), c.alias("id"))
         both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         to = both.groupBy(F.col("a").alias("node")).agg(F.min(rank(F.col("b"))).alias("best"))
