@@ -16,8 +16,9 @@ bucket goes without a decision, and only links leave a task.
 
 Link: ``den * |A and B| >= num * |A or B|``. No word or null text: empty set,
 linked with nothing. Fewer words than a shingle: all of them make one.
-Repeated rows fall into one class; ``doc_id`` is taken to identify a document,
-so rows of one id stay together; a null id is linked with nothing.
+Repeated rows fall into one class. Rows of one ``doc_id`` make one document:
+it is linked if any of its texts is. A null id is linked with nothing. An empty
+table gives no rows; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .common import LOWER, NOT_SPACE, Scratch, annotate, components, mix, number
 UNIVERSE_BITS = 20
 BANDS, ROWS = 42, 6
 LIKELY = 164  # of 252 coordinates
-BLOCK = 2 << 20  # shingles of a block
+BLOCK = 1 << 18  # shingles of a block
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) up to which the documents to compare are marked by broadcast
 
 _made: dict[str, np.ndarray] = {}
@@ -99,32 +100,31 @@ def shingle_sets(col: pa.Array, ngram: int):
 
 def _features(docs: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
-        n, digests, keys, signs = [], [], [], []
+        n, digests, keys = [], [], []
         for s in shingle_sets(batch.column("text"), ngram):
             n.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sign = signature(s) if len(s) else None
-            keys.append(None if sign is None else band_keys(sign))
-            signs.append(None if sign is None else sign.astype(np.uint8).tobytes())
-        return {"n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "sign": pa.array(signs, pa.binary())}
+            keys.append(band_keys(signature(s)) if len(s) else None)
+        return {"n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
 
-    fields = [T.StructField("sign", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     return annotate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), fields, run, only=["doc_id"])
 
 
 def _sets(ids: DataFrame, docs: DataFrame, ngram: int, scratch: Scratch, name: str) -> DataFrame:
-    """(doc_id, shingles) of the documents of ``ids(doc_id)``, each once."""
+    """(doc_id, shingles, sign) of the documents of ``ids(doc_id)``, each distinct set once."""
     marked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"shingles": pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), ngram)], pa.binary())}
+        sets = list(shingle_sets(batch.column("text"), ngram))
+        return {"shingles": pa.array([s.tobytes() for s in sets], pa.binary()), "sign": pa.array([signature(s).astype(np.uint8).tobytes() if len(s) else b"" for s in sets], pa.binary())}
 
-    sets = annotate(docs.join(marked, "doc_id", "left_semi"), [T.StructField("shingles", T.BinaryType())], run, only=["doc_id"])
-    return scratch.save(sets.groupBy("doc_id").agg(F.min("shingles").alias("shingles")), f"{name}-sets")
+    sets = annotate(docs.join(marked, "doc_id", "left_semi"), [T.StructField("shingles", T.BinaryType()), T.StructField("sign", T.BinaryType())], run, only=["doc_id"])
+    return scratch.save(sets.filter("length(sign) > 0").dropDuplicates(["doc_id", "shingles"]), f"{name}-sets")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, ngram: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link, compared on the full shingle sets of ``docs(doc_id, text)``."""
+    """Those of ``pairs(a, b)`` of which some texts link, compared on the full shingle sets of ``docs(doc_id, text)``."""
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
     sets = _sets(ids, docs, ngram, scratch, name)
 
@@ -143,17 +143,17 @@ def _linked(pairs: DataFrame, docs: DataFrame, ngram: int, num: int, den: int, s
 
     a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = annotate(pairs.join(a, "a").join(b, "b"), [T.StructField("link", T.BooleanType())], compare, only=["a", "b"])
-    found = scratch.save(both.filter("link").select("a", "b"), f"{name}-links")
+    found = scratch.save(both.filter("link").select("a", "b").distinct(), f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-ids")
     return found
 
 
 def _between(rows: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between members of different components of two blocks (or one)."""
-    of, ids, n, x = (rows[c].to_numpy() for c in ("of", "b", "nb", "x"))
+    of, ids, x = (rows[c].to_numpy() for c in ("of", "b", "x"))
     signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), np.uint8).reshape(len(ids), -1)
     sets = [np.frombuffer(v, np.uint64) for v in rows["shingles"].to_pylist()]
-    size = np.array([len(v) for v in sets])
+    n = size = np.array([len(v) for v in sets])
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.cumsum(size) - size
     mark = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
@@ -176,9 +176,9 @@ def _between(rows: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _apart(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of ``members(group, blocks, of, b, nb, sign, shingles)`` between different components of a group."""
+    """Links (a, b) of ``members(group, blocks, of, b, sign, shingles)`` between different components of a group."""
     spread = members.withColumn("x", F.pmod(F.xxhash64("b"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("group", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "of", "b", "nb", "sign", "shingles")
+    spread = spread.select("group", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "of", "b", "sign", "shingles")
 
     def run(batches):
         for rows in runs(batches, 3):
@@ -204,7 +204,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
     pairs = mates.filter((F.col("a") != F.col("b")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _linked(scratch.save(pairs, "pairs"), texts, ngram, num, den, scratch, "star")
-    found = components(links, scratch, "star-components")
+    again = some.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")  # ids of several texts
+    own = some.join(again, "doc_id", "left_semi").join(classes, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    found = components(links.unionByName(own), scratch, "star-components")
 
     now = mates.select("key", "b", "nb").join(found.withColumnRenamed("id", "b"), "b", "left").withColumn("of", F.coalesce("component", "b")).drop("component")
     now = scratch.save(now, "bucket-components")
@@ -212,12 +214,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = scratch.save(now.join(several.select("key", "a"), "key").select("a", "b", "of", "nb"), "open")
     if not open_.isEmpty():
         groups = components(open_.select("a", "b"), scratch, "groups").withColumnsRenamed({"id": "b", "component": "group"})
-        members = open_.select("b", "of", "nb").distinct().join(groups, "b", "left").withColumn("group", F.coalesce("group", "b"))
+        members = open_.groupBy("b").agg(F.min("of").alias("of"), F.max("nb").alias("nb")).join(groups, "b", "left").withColumn("group", F.coalesce("group", "b"))
         members = scratch.save(members, "members")
         blocks = members.groupBy("group").agg(F.ceil(F.sum("nb") / BLOCK).alias("blocks"))
-        signs = some.select(F.col("doc_id").alias("b"), "sign").dropDuplicates(["b"])
         sets = _sets(members.select(F.col("b").alias("doc_id")), texts, ngram, scratch, "members").withColumnRenamed("doc_id", "b")
-        more = scratch.save(_apart(members.join(blocks, "group").join(signs, "b").join(sets, "b"), num, den), "apart")
+        more = scratch.save(_apart(members.join(blocks, "group").join(sets, "b"), num, den), "apart")
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "all-components")
     of = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("of"))
     out = feats.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
