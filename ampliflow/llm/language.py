@@ -1,15 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads segments (white-space separated words, cut after ``SEGMENT``
-bytes) forwards and backwards, gives every byte position a distribution over
-the languages, and a document's probabilities are the mean over all positions
-of its whole text. Equal segments of a slice of text are run once. Training is
+The network reads segments (white-space separated words, those of over
+``SEGMENT`` bytes cut between characters) forwards and backwards, gives every
+byte position of them a distribution over the languages, and a document's
+probabilities are the mean over all these positions of its whole text. Equal segments of a slice of text are run once. Training is
 backpropagation through time in numpy, on words of a bounded sample of
 labelled documents (``per_language`` documents of each language, ``per_doc``
-words of each), chosen by hash.
+words of each), chosen by hash; all of its languages are learned.
 
 Null text or no letter: ``und`` with score 0. Without labelled documents all
-are ``und``. Repeated rows get the same answer; clashing columns give way.
+are ``und``. Ties go to the lesser name. Repeated rows get the same answer;
+clashing columns give way; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import NOT_SPACE, annotate, numbers, slices, text_buffers, word_has
 SEGMENT = 24
 HIDDEN = 16
 STEPS, BATCH, STEP_SIZE = 400, 384, 0.02
-PER_LANGUAGE, PER_DOC, LANGUAGES = 400, 300, 256
+PER_LANGUAGE, PER_DOC = 400, 300
 SLICE = 4 << 20
 
 
@@ -126,7 +127,16 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         before = np.cumsum(n) - n
         k = np.arange(int(n.sum())) - np.repeat(before, n)
         first = np.append(before, len(k))[first]
-        start, end = np.repeat(start, n) + SEGMENT * k, np.minimum(np.repeat(start, n) + SEGMENT * (k + 1), np.repeat(end, n))
+        start, end = np.repeat(start, n) + SEGMENT * k, np.repeat(end, n)
+        for _ in range(3):  # on to the next character
+            inner = np.flatnonzero((k > 0) & (start < end))
+            inner = inner[(data[start[inner]] & 0xC0) == 0x80]
+            start[inner] += 1
+        follows = np.append(k[1:] > 0, False)
+        end = np.where(follows, np.append(start[1:], 0), end)
+        some = start < end
+        first = np.concatenate([[0], np.cumsum(some)])[first]
+        start, end = start[some], end[some]
     return start, end, first
 
 
@@ -156,25 +166,26 @@ def pooled(data: np.ndarray, off: np.ndarray, net: BiGru) -> np.ndarray:
     return total / np.maximum(np.bincount(doc, size, len(off) - 1), 1)[:, None]
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, per_doc: int = PER_DOC, languages: int = LANGUAGES) -> BiGru | None:
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, per_doc: int = PER_DOC) -> BiGru | None:
     """A network trained on ``labelled(key, text, lang)``; None without labels."""
     labelled = labelled.filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not counts:
         return None
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int((1 << 20) * min(1.0, per_language / r.n)) + 1)])
     hashed = lambda i, w: F.struct(F.xxhash64(F.lit(5), i, w).alias("h"), w.alias("w"))
     some = labelled.filter(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 20)) < rate[F.col("lang")])
     picked = F.slice(F.array_sort(F.transform(F.split("text", r"[ \t-\r]+"), lambda w, i: hashed(i, w))), 1, per_doc)
-    rows = some.select("key", "lang", F.transform(picked, lambda s: s["w"]).alias("w")).limit(2 * per_language * len(counts)).collect()
+    rows = some.select("key", "lang", F.transform(picked, lambda s: s["w"]).alias("w")).orderBy(F.xxhash64(F.lit(3), "key"), "key", "lang", "w").limit(2 * per_language * len(counts)).collect()
     names = sorted(r.lang for r in counts)
     index = {name: k for k, name in enumerate(names)}
     found: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: str(r.key)):
-        for w in r.w:
-            raw = w.encode()
-            for lo in range(0, len(raw), SEGMENT):
-                found.setdefault(len(raw[lo : lo + SEGMENT]), []).append((raw[lo : lo + SEGMENT], index[r.lang]))
+    for r in sorted(rows, key=lambda r: (str(r.key), r.lang, r.w)):
+        raw = [w.encode() for w in r.w]
+        start, end, _ = segments(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        flat = b"".join(raw)
+        for a, b in zip(start.tolist(), end.tolist(), strict=True):
+            found.setdefault(b - a, []).append((flat[a:b], index[r.lang]))
     by_length = {}
     for n, items in found.items():
         y = np.array([k for _, k in items])
