@@ -4,11 +4,14 @@ Host: after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased;
 path: from there up to ``? #`` or the end; null or no ``://``: both empty. A
 rule ``host/path`` fits its host and all subdomains if the path starts with
 the rule's; the longest wins. The URLs that a rule decides are the labelled
-URLs; trees learn from a sample of at most ``sample`` of them, with suffix
-statistics over all of them, and judge the rest. Features: lengths, depth,
-digit ratio, entropy, parameter counts and block rates of suffixes. Without
+URLs; trees learn from at most ``sample`` distinct ones of them (those of least
+hash), with suffix statistics over all, and judge the rest. Features: lengths,
+depth, digit ratio, entropy, parameter counts and block rates of suffixes,
+which a learning URL takes from the half of the URLs it isn't in. Without
 labelled URLs of both verdicts, the rest gets the only verdict seen (else
-``allow``). Repeated rows are judged alike; clashing input columns give way.
+``allow``). Results depend neither on the order nor on the partitions of rows.
+Repeated rows are judged alike; clashing input columns give way; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -147,17 +150,25 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, ur
             both = [_suffixes((h or "")[-64:]) for h in batch.column("host").to_pylist()]
             return {"slot": pa.array([[a, SUFFIX_SLOTS + b] for a, b in both], pa.list_(pa.int32()))}
 
-        spread = annotate(told, [T.StructField("slot", T.ArrayType(T.IntegerType()))], slots, only=["verdict"])
-        counts = spread.select("verdict", F.explode("slot").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("b")).collect()
+        half = F.pmod(F.xxhash64("url"), F.lit(2)).cast("int")
+        spread = annotate(told.withColumn("half", half), [T.StructField("slot", T.ArrayType(T.IntegerType()))], slots, only=["verdict", "half"])
+        counts = spread.select("verdict", "half", F.explode("slot").alias("slot")).groupBy("slot", "half").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("b")).collect()
         prior = totals["block"] / sum(totals.values())
-        flat = np.full(2 * SUFFIX_SLOTS, prior)
+        n, blocked = np.zeros((2, 2 * SUFFIX_SLOTS)), np.zeros((2, 2 * SUFFIX_SLOTS))
         for r in counts:
-            flat[r.slot] = (r.b + 4 * prior) / (r.n + 4)
-        rates = flat.reshape(2, -1)
-        share = min(1.0, sample / sum(totals.values()))
-        some = told.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample).toArrow()
-        some = some.take(np.lexsort((np.arange(len(some)), np.array(some["url"].to_pylist(), dtype=str)))[:sample]) if len(some) > sample else some.take(np.argsort(np.array(some["url"].to_pylist(), dtype=str), kind="stable"))
-        x = features(some["url"].combine_chunks(), some["host"].combine_chunks(), rates)
+            n[r.half, r.slot], blocked[r.half, r.slot] = r.n, r.b
+        rate = lambda b, n: ((b + 4 * prior) / (n + 4)).reshape(2, -1)
+        rates = rate(blocked.sum(0), n.sum(0))
+        distinct = told.agg(F.approx_count_distinct("url")).first()[0]
+        share = min(1.0, 2 * sample / max(distinct, 1))
+        hashed = F.xxhash64(F.lit(9), "url")
+        some = told.filter(F.pmod(hashed, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).withColumn("half", half).distinct().orderBy(hashed, "url").limit(sample).toArrow()
+        x = np.zeros((len(some), 12))
+        own = some["half"].to_numpy()
+        for k in (0, 1):
+            rows = np.flatnonzero(own == k)
+            part = some.take(pa.array(rows))
+            x[rows] = features(part["url"].combine_chunks(), part["host"].combine_chunks(), rate(blocked[1 - k], n[1 - k]))
         model = grow(x, (np.array(some["verdict"].to_pylist()) == "block").astype(float))
 
     def run(batch: pa.RecordBatch) -> dict:
