@@ -3,7 +3,9 @@
 The file's own steps (NFC, white space, lower case; runs of letters, single
 digits, runs of others; merges inside a run) are applied to all texts of a
 slice together in numpy: each distinct run is merged once and remembered for
-later slices. Texts that name a special token go to the tokenizer itself.
+later slices. Texts that name a special token, or hold a code point that
+Python's tables do not know (the tokenizer's are of another Unicode version),
+go to the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -27,15 +29,16 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
-def _classes() -> np.ndarray:
-    """0 white space, 1 letter, 2 number, 3 other, for each code point."""
-    kind = np.full(0x110000, 3, np.uint8)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """0 white space, 1 letter, 2 number, 3 other, for each code point; and which are unknown."""
+    kind, unknown = np.full(0x110000, 3, np.uint8), np.zeros(0x110000, bool)
     for c in range(0x110000):
-        k = unicodedata.category(chr(c))[0]
-        if k in "LNZ":
-            kind[c] = "ZLN".index(k)
+        k = unicodedata.category(chr(c))
+        unknown[c] = k == "Cn"
+        if k[0] in "LNZ":
+            kind[c] = "ZLN".index(k[0])
     kind[[9, 10, 11, 12, 13, 0x85]] = 0
-    return kind
+    return kind, unknown
 
 
 class Bpe:
@@ -56,7 +59,7 @@ class Bpe:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(key, kind="stable")
         self.key, self.rank, self.made = np.append(key[order], 1 << 40), np.append(order, 0), made
-        self.kind = _classes()
+        self.kind, self.unknown = _classes()
         self.known: dict[int, int] = {}
         self.forget()
 
@@ -131,7 +134,8 @@ class Bpe:
         import pandas as pd
 
         texts = [t or "" for t in texts]
-        own = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        odd = lambda t: not t.isascii() and self.unknown[np.frombuffer(t.encode("utf-32-le"), np.uint32)].any()
+        own = {i for i, t in enumerate(texts) if any(s in t for s in self.special) or odd(t)}
         plain = ["" if i in own else t.lower() if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for i, t in enumerate(texts)]
         joined = "\n".join(plain) + "\n"
         point = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
