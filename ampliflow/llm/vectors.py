@@ -15,7 +15,8 @@ While it finds less than ``RECALL``, twice as many trees follow; after
 ``PASSES`` all vectors of a label are compared in blocks.
 
 Result: a row per vector: vec_id, n_links, component_id, kept. Null ids have
-null components and are kept. Repeated rows count as vectors of their own.
+null components and are kept. Repeated rows count as vectors of their own. An
+empty table gives no rows; only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,10 +122,10 @@ def _meet(groups: DataFrame, keys: int, k: int) -> DataFrame:
 
 
 def _lists(found: DataFrame) -> DataFrame:
-    """The nearest neighbours of each vector: (id, near, sim)."""
-    once = found.repartition("id").groupBy("id", "near").agg(F.max("sim").alias("sim"))
-    best = once.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "near")), False), 1, NEIGHBOURS).alias("l"))
-    return best.select("id", F.explode("l").alias("x")).select("id", "x.near", "x.sim")
+    """The nearest neighbours of each vector: (id, near, sim). Ranks are limited before the shuffle by id, so a hub's lists are never in one task."""
+    once = found.groupBy("id", "near").agg(F.max("sim").alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "near"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= NEIGHBOURS).drop("rank")
 
 
 def _in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
