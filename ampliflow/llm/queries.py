@@ -69,11 +69,17 @@ def _root(t: str) -> str:
     return sql
 
 
+def _records(t: str) -> str:
+    record = "'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:sha256:' || sha256(url || chr(10) || html) || '>' || e || 'WARC-Target-URI: ' || url || e || 'Content-Length: ' || strlen(html) || e || e || html || e || e"
+    return f"""SELECT CAST(coalesce(floor(page_id / 1000), -1 - CAST('0x' || digest[1:4] AS BIGINT)) AS BIGINT) AS file, coalesce(page_id, -1) AS page_id, length, digest
+  FROM (SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM (SELECT page_id, {record} AS record FROM (SELECT *, chr(13) || chr(10) AS e FROM {t})))"""
+
+
 ORACLES["op2_fixity"] = f"""
-WITH p AS (SELECT coalesce(page_id, -1) AS page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-q AS (SELECT page_id, url, CASE WHEN page_id % 97 = 5 AND html[1] = '<' THEN '[' || html[2:] ELSE html END AS html FROM p),
-a0 AS (SELECT CAST(floor(page_id / 1000) AS BIGINT) AS file, page_id, CAST(strlen(url || chr(13) || chr(10) || chr(13) || chr(10) || html) AS BIGINT) AS length, sha256(url || chr(13) || chr(10) || chr(13) || chr(10) || html) AS digest FROM p),
-b0 AS (SELECT CAST(floor(page_id / 1000) AS BIGINT) AS file, page_id, CAST(strlen(url || chr(13) || chr(10) || chr(13) || chr(10) || html) AS BIGINT) AS length, sha256(url || chr(13) || chr(10) || chr(13) || chr(10) || html) AS digest FROM q),
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, url, CASE WHEN coalesce(page_id, -1) % 97 = 5 AND html[1] = '<' THEN '[' || html[2:] ELSE html END AS html FROM p),
+a0 AS ({_records("p")}),
+b0 AS ({_records("q")}),
 a AS (SELECT *, CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest) - length AS BIGINT) AS "offset" FROM a0),
 b AS (SELECT * FROM (SELECT *, CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest) - length AS BIGINT) AS "offset" FROM b0) WHERE page_id % 211 <> 7),
 ra AS ({_root("a")}),
