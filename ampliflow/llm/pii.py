@@ -5,11 +5,16 @@ not overlapping within a kind; matches that fail a kind's test are dropped.
 Further spans come from weak supervision: candidates are found by shape;
 regex, gazetteer and context labelers vote (1, 0 or -1) on each; expectation-
 maximisation over the counts of vote patterns (at most 3^6) estimates their
-reliabilities; a logistic span classifier trained on the resulting
-probabilities decides. Added spans that touch a base span are dropped.
-
-Positions are code points, ends exclusive. Null text is empty: no spans.
-Repeated rows are treated alike; clashing input columns give way. The patterns
+reliabilities. A logistic span classifier is trained on the resulting
+probabilities, from features of the span alone (length, shares of letter kinds,
+variety, kind, the hashed word before it), as votes would explain them wholly;
+its log odds beyond the prior are added to those of the votes and decide. It is
+fitted to at most ``SAMPLE`` distinct candidates, those of least hash, weighted
+by how often they occur. Added spans that touch a base span are dropped.
+
+Positions are code points, ends exclusive. Null text is empty: no spans; an
+empty table gives no rows. Repeated rows are treated alike; input columns named
+as a result column give way, all others stay. The patterns
 are written so that runs of any length take linear time and constant stack: a
 match may begin only where a run begins or where the last match ended, and
 runs are possessive; both leave the matches unchanged.
@@ -20,9 +25,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret", "ssn", "iban"]
 PATTERN = {
@@ -38,7 +46,7 @@ CANDIDATE = (
     r"|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
     r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"
-    r"|(?=[A-Za-z_]{0,64}[0-9])(?=[0-9_]{0,64}[A-Za-z])[A-Za-z0-9_]{16,128}(?![A-Za-z0-9_])"
+    r"|(?<!_)(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{16,}+"
     r")"
 )
 #: Gazetteers: cues before a candidate, cues against it, and ends of addresses.
@@ -46,7 +54,8 @@ CUES = "password|passwd|pwd|token|secret|key|api|auth|ssn|social|iban|account|ko
 AGAINST = r"(?:version|isbn|doi|sha|commit|figure|table|page|v\.?|no\.?|#|/)\s*$"
 ENDINGS = "com|org|net|edu|gov|io|info|de|fr|es|uk|eu"
 BEFORE = 24  # characters of context
-ROUNDS, TRAINING = 30, 300
+ROUNDS = 30
+SAMPLE, WORDS, FEATURES = 20_000, 32, 11  # candidates to learn from, buckets of words before a candidate, its other features
 BLOCK = 256
 
 
@@ -121,18 +130,31 @@ def _kind(hit: Column) -> Column:
     )
 
 
-def _candidates(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with _cand: array<struct(start, end, kind, votes)>."""
-    maybe = text.rlike("[0-9]") | (F.contains(text, F.lit("at")) & F.contains(text, F.lit("dot")))
+def _features(kind: Column, hit: Column, pre: Column) -> Column:
+    """Length, shares of digits, capitals, small letters and the rest, variety, and the kind (one of five)."""
+    size = F.length(hit)
+    share = lambda letters: F.length(F.regexp_replace(hit, f"[^{letters}]", "")) / size
+    own = [F.least(size / 32, F.lit(4.0)), share("0-9"), share("A-Z"), share("a-z"), 1 - share("0-9A-Za-z"), F.size(F.array_distinct(F.split(hit, ""))) / size]
+    return F.array(*[x.cast("double") for x in own], *[F.when(kind == k, 1.0).otherwise(0.0) for k in ("email", "phone", "secret", "ssn", "iban")])
+
+
+def _candidates(docs: DataFrame, text: str, t: Callable[[str], str]) -> DataFrame:
+    """``docs`` with cand: array<struct(start, end, kind, votes, features, word)>; ``t`` names own columns."""
+    maybe = F.col(text).rlike("[0-9]") | (F.contains(text, F.lit("at")) & F.contains(text, F.lit("dot")))
     none = F.array().cast("array<string>")
-    docs = docs.withColumns({"_hits": F.when(maybe, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none)})
-    docs = docs.withColumn("_pieces", F.when(F.size("_hits") > 0, F.split(text, CANDIDATE, -1)).otherwise(none))
-    cand = F.transform(located(F.col("_hits"), F.col("_pieces")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _kind(s["hit"]).alias("kind"), _votes(_kind(s["hit"]), s["hit"], s["before"]).alias("votes")))
-    return docs.withColumn("_cand", cand).drop("_hits", "_pieces")
+    docs = docs.withColumn(t("hits"), F.when(maybe, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
+    docs = docs.withColumn(t("pieces"), F.when(F.size(t("hits")) > 0, F.split(text, CANDIDATE, -1)).otherwise(none))
+
+    def seen(s: Column) -> Column:
+        kind = _kind(s["hit"])
+        word = F.pmod(F.crc32(F.lower(F.regexp_extract(s["before"], "([A-Za-z]+)[^A-Za-z]*$", 1))), F.lit(WORDS)).cast("int")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), _votes(kind, s["hit"], s["before"]).alias("votes"), _features(kind, s["hit"], s["before"]).alias("features"), word.alias("word"))
 
+    return docs.withColumn(t("cand"), F.transform(located(F.col(t("hits")), F.col(t("pieces"))), seen)).drop(t("hits"), t("pieces"))
 
-def estimate(patterns: list[tuple[list[int], int]], rounds: int = ROUNDS) -> tuple[list[float], list[tuple[float, float]]]:
-    """Expectation-maximisation over (votes, count): probabilities of the patterns, and for each labeler its rates of a 1 given true, given false (among votes cast)."""
+
+def estimate(patterns: list[tuple[list[int], int]], rounds: int = ROUNDS) -> tuple[list[float], list[tuple[float, float]], float]:
+    """Expectation-maximisation over (votes, count): probabilities of the patterns, for each labeler its rates of a 1 given true, given false (among votes cast), and the prior."""
     n = len(patterns[0][0]) if patterns else 0
     rates, prior, post = [(0.8, 0.3)] * n, 0.5, []
     for _ in range(rounds):
@@ -150,54 +172,78 @@ def estimate(patterns: list[tuple[list[int], int]], rounds: int = ROUNDS) -> tup
         rates = new
         weight = sum(c for _, c in patterns)
         prior = min(0.95, max(0.05, sum(p * c for p, (_, c) in zip(post, patterns, strict=True)) / max(weight, 1)))
-    return post, rates
-
-
-def train(patterns: list[tuple[list[int], int]], post: list[float], rounds: int = TRAINING) -> list[float]:
-    """Weights (bias first) of a logistic classifier of votes, fitted to the estimated probabilities."""
-    n = len(patterns[0][0]) if patterns else 6
-    w, total = [0.0] * (n + 1), max(1, sum(c for _, c in patterns))
-    for k in range(rounds):
-        g = [0.002 * x for x in w]
-        for (votes, c), p in zip(patterns, post, strict=True):
-            x = [1, *votes]
-            d = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True)))))) - p
-            for j, v in enumerate(x):
-                g[j] += d * v * c / total
-        w = [a - 2.0 / (1 + k / 100) * b for a, b in zip(w, g, strict=True)]
+    return post, rates, prior
+
+
+def train(features: np.ndarray, word: np.ndarray, times: np.ndarray, post: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Weights (bias, features, words) of a logistic classifier fitted to probabilities by Newton's method with a ridge."""
+    x = np.concatenate([np.ones((len(features), 1)), features, np.eye(WORDS)[word]], 1)
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds if len(x) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (times * (p - post)) + w
+        bend = (x * (times * (p * (1 - p) + 1e-3))[:, None]).T @ x + np.eye(len(w))
+        step = np.linalg.solve(bend, gradient)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
     return w
 
 
+def odds(rates: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """What a vote of 1 and one of -1 of each labeler add to the log odds."""
+    return [(math.log(a / b), math.log((1 - a) / (1 - b))) for a, b in rates]
+
+
+def _learned(docs: DataFrame, text: Column) -> tuple[list[tuple[float, float]], list[float]]:
+    """The log odds of the votes and the weights of the features, from the candidates of all documents."""
+    found = _candidates(docs.select(text.alias("text")), "text", lambda n: f"own_{n}").select(F.explode("own_cand").alias("c")).select("c.votes", "c.features", "c.word")
+    found = Scratch(docs.sparkSession).save(found.groupBy("votes", "features", "word").agg(F.count("*").alias("n")), "candidates")
+    patterns = [(list(r.votes), r.n) for r in found.groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()]
+    probable, rates, _ = estimate(patterns)
+    post = {tuple(v): p for (v, _), p in zip(patterns, probable, strict=True)}
+    some = found.orderBy(F.xxhash64("votes", "features", "word"), "votes", "features", "word").limit(SAMPLE).collect()
+    features = np.array([r.features for r in some], float).reshape(len(some), FEATURES)
+    weights = train(features, np.array([r.word for r in some], int), np.array([r.n for r in some], float), np.array([post[tuple(r.votes)] for r in some], float))
+    return odds(rates) or [(0.0, 0.0)] * 6, weights.tolist()
+
+
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and span_list: array<struct(start, kind, end)>, kind an index of ``KINDS``."""
     new = {"n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "span_list"}
     docs = docs.select(*[c for c in docs.columns if c.lower() not in new])
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    t = lambda name: own + name
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    counted = _candidates(docs.select(text.alias("_text")), F.col("_text")).select(F.explode("_cand.votes").alias("votes")).groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
-    patterns = [(list(r.votes), r.n) for r in counted]
-    weights = train(patterns, estimate(patterns)[0])
+    by_votes, weights = _learned(docs, text)
 
     none = F.array().cast("array<string>")
-    docs = docs.withColumn("_text", text)
+    docs = docs.withColumn(t("text"), text)
     for kind in BASE:
-        seen = F.contains(F.col("_text"), F.lit(HINT[kind])) if HINT[kind] else F.col("_text").rlike("[0-9]")
-        docs = docs.withColumn(f"_h_{kind}", F.when(seen, F.regexp_extract_all("_text", F.lit(PATTERN[kind]), F.lit(0))).otherwise(none))
+        seen = F.contains(F.col(t("text")), F.lit(HINT[kind])) if HINT[kind] else F.col(t("text")).rlike("[0-9]")
+        docs = docs.withColumn(t(f"h_{kind}"), F.when(seen, F.regexp_extract_all(t("text"), F.lit(PATTERN[kind]), F.lit(0))).otherwise(none))
     for kind in BASE:
-        docs = docs.withColumn(f"_p_{kind}", F.when(F.size(f"_h_{kind}") > 0, F.split("_text", PATTERN[kind], -1)).otherwise(none))
-    docs = docs.withColumns({f"_s_{k}": F.filter(located(F.col(f"_h_{k}"), F.col(f"_p_{k}")), _passes(k)) for k in BASE})
-    docs = _candidates(docs.drop(*[f"_{x}_{k}" for x in "hp" for k in BASE]), F.col("_text"))
+        docs = docs.withColumn(t(f"p_{kind}"), F.when(F.size(t(f"h_{kind}")) > 0, F.split(t("text"), PATTERN[kind], -1)).otherwise(none))
+    docs = docs.withColumns({t(f"s_{k}"): F.filter(located(F.col(t(f"h_{k}")), F.col(t(f"p_{k}"))), _passes(k)) for k in BASE})
+    docs = _candidates(docs.drop(*[t(f"{x}_{k}") for x in "hp" for k in BASE]), t("text"), t)
     spans_of = lambda k: lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"))
-    base = F.array_sort(F.concat(*[F.transform(f"_s_{k}", spans_of(i)) for i, k in enumerate(BASE)]))
-    docs = docs.withColumns({f"n_{k}": F.size(f"_s_{k}").cast("long") for k in BASE} | {"_base": base})
-    logit = lambda v: sum((F.get(v, F.lit(j)) * w for j, w in enumerate(weights[1:])), F.lit(weights[0]))
-    free = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    base = F.array_sort(F.concat(*[F.transform(t(f"s_{k}"), spans_of(i)) for i, k in enumerate(BASE)]))
+    docs = docs.withColumns({f"n_{k}": F.size(t(f"s_{k}")).cast("long") for k in BASE} | {t("base"): base})
+    of_features, of_words = weights[1:-WORDS], weights[-WORDS:]
+    said_by = lambda c: sum((F.when(F.get(c, F.lit(j)) > 0, yes).when(F.get(c, F.lit(j)) < 0, no).otherwise(0.0) for j, (yes, no) in enumerate(by_votes)), F.lit(0.0))
+    dot = lambda c, w: F.aggregate(F.zip_with(c, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    # the prior's log odds are in both parts and are taken off once
+    logit = lambda c: F.lit(weights[0]) + said_by(c["votes"]) + dot(c["features"], of_features) + F.get(F.array(*map(F.lit, of_words)), c["word"])
+    free = lambda c: ~F.exists(t("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     index = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    added = F.transform(F.filter("_cand", lambda c: (logit(c["votes"]) >= 0) & free(c)), lambda c: F.struct(c["start"].alias("start"), index[c["kind"]].alias("kind"), c["end"].alias("end")))
-    docs = docs.withColumn("span_list", F.array_sort(F.concat("_base", added)))
+    added = F.transform(F.filter(t("cand"), lambda c: (logit(c) >= 0) & free(c)), lambda c: F.struct(c["start"].alias("start"), index[c["kind"]].alias("kind"), c["end"].alias("end")))
+    docs = docs.withColumn("span_list", F.array_sort(F.concat(t("base"), added)))
     names = F.array(*map(F.lit, KINDS))
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
-    docs = docs.withColumns({"base_sha256": F.sha2(said("_base"), 256), "spans": said("span_list")})
-    return docs.drop("_text", "_base", "_cand", *[f"_s_{k}" for k in BASE])
+    docs = docs.withColumns({"base_sha256": F.sha2(said(t("base")), 256), "spans": said("span_list")})
+    return docs.drop(t("text"), t("base"), t("cand"), *[t(f"s_{k}") for k in BASE])
 
 
 def redact(found: DataFrame, text_col: str = "text") -> DataFrame:

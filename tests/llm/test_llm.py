@@ -71,6 +71,15 @@ def test_minhash_links(docs, rows, n):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(d, len(s), root(d), root(d) == d) for d, s in sets.items()}
 
 
+def test_minhash_ids_of_several_texts(spark):
+    from ampliflow.llm.minhash import near_duplicates
+
+    text = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
+    data = [(1, text("a")), (1, text("b")), (2, text("b") + " x"), (5, text("c")), (6, text("c")), (6, text("d")), (7, text("d") + " y"), (8, text("e")), (None, text("a"))]
+    out = near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out if r.doc_id) == [(1, 1), (1, 1), (2, 1), (5, 5), (6, 5), (6, 5), (7, 5), (8, 8)]
+
+
 def test_minhash_empty(docs):
     from ampliflow.llm.minhash import near_duplicates
 
@@ -196,6 +205,10 @@ def test_tokens_equal_the_tokenizer():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t, own = Tokenizer.from_file(path), Bpe(path)
+    points = [f"a{chr(c)}B {chr(c)}1" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33000 or 0xE0000 <= c < 0xE0200)]
+    for lo in range(0, len(points), 5000):
+        some = points[lo : lo + 5000]
+        assert [b.tolist() for b in own.encode(some)] == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
     odd = ["", "aaaa x'super ''s 'tis we'll,'s 12'd34", "a\xa0b c\x1cd\x85e", "İstanbul ΑΣ.", "<|endoftext|>q", "漢字 デスト é é", None, "'", "q'"]
     for a, b in zip(odd, own.encode(odd), strict=True):
         assert b.tolist() == t.encode(a or "", add_special_tokens=False).ids
@@ -232,6 +245,41 @@ def test_pii_base_spans(spark):
     assert "secret:9:49" in by[len(texts) - 2].spans
 
 
+def test_pii_keeps_columns_and_long_secrets(spark):
+    from ampliflow.llm.pii import find_pii
+
+    key = "a1" * 400
+    data = [(1, f'secret = "{key}" end', "t", "c", 7), (2, None, "t", "c", 7), (2, "_" * 5000 + " x", "t", "c", 7)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, _text string, __cand string, Spans int")
+    out = find_pii(docs).orderBy("doc_id").collect()
+    assert {(r._text, r["__cand"]) for r in out} == {("t", "c")} and "Spans" not in out[0].asDict()
+    assert out[0].spans == "secret:10:810" and out[1].spans == out[2].spans == ""
+    assert find_pii(docs.limit(0)).collect() == []
+
+
+def test_pii_classifier_beats_majority():
+    from ampliflow.llm.pii import WORDS, estimate, odds, train
+
+    rng = np.random.default_rng(9)
+    n = 6000
+    true = rng.random(n) < 0.4
+    right = [0.92, 0.6, 0.58, 0.6, 0.57, 0.6]  # two labelers in three are nearly noise
+    votes = np.stack([np.where(rng.random(n) < 0.25, 0, np.where((rng.random(n) < r) == true, 1, -1)) for r in right], 1)
+    features = np.zeros((n, 11))
+    features[:, 1] = np.clip(rng.normal(0.3 + 0.3 * true, 0.15), 0, 1)
+    word = np.where(rng.random(n) < 0.5, true * 3, rng.integers(0, WORDS, n))
+    seen = Counter(map(tuple, votes.tolist()))
+    patterns = [(list(v), c) for v, c in sorted(seen.items())]
+    probable, rates, _ = estimate(patterns)
+    post = dict(zip(sorted(seen), probable, strict=True))
+    each = np.array([post[tuple(v)] for v in votes.tolist()])
+    w = train(features, word, np.ones(n), each)
+    votes_say = sum(np.where(v > 0, yes, np.where(v < 0, no, 0)) for v, (yes, no) in zip(votes.T, odds(rates), strict=True))
+    x = np.concatenate([np.ones((n, 1)), features, np.eye(WORDS)[word]], 1)
+    share = lambda said: (said == true).mean()
+    assert share(x @ w + votes_say > 0) > share(each > 0.5) + 0.02 and share(each > 0.5) > share(votes.sum(1) > 0) + 0.04
+
+
 def test_vectors_against_brute_force(spark):
     from ampliflow.llm.vectors import near_vectors
 
