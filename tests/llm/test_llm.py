@@ -405,31 +405,49 @@ def test_language_model_base(spark, docs, rows):
 
 
 def test_language_model_without_class_words():
-    from ampliflow.llm.lm import CLASSES, PER_CLASS, SLOTS, Model
+    from ampliflow.llm.lm import CLASSES, PER_CLASS, SLOTS, Model, Words
 
     rng = np.random.default_rng(4)
     token, begin = rng.integers(1 << 40, 1 << 62, 9000).astype(np.uint64), np.array([0, 9000])
     for top in (np.zeros(0, np.uint64), np.arange(1, CLASSES * PER_CLASS + 1, dtype=np.uint64)):
-        model, seen = Model(top), (np.zeros(SLOTS), np.zeros(SLOTS))
+        model, seen = Model(Words(top, np.full(len(top), 9), np.zeros(len(top), int))), (np.zeros(SLOTS), np.zeros(SLOTS))
+        model.begin(9 * len(top))
+        before = model.inner.copy()
         model.update(token, begin, seen)
-        logp, open_ = model.log10(token, begin)
-        assert open_.all() and np.isfinite(logp).all() and (logp <= 0).all() and not model.inner.any()
+        logp = model.log10(token, begin)
+        assert np.isfinite(logp).all() and (logp <= 0).all() and np.array_equal(model.inner, before)
 
 
 @pytest.mark.parametrize("size", [1024, 50])
 def test_language_model_sums_to_one(size):
-    from ampliflow.llm.lm import SLOTS, Model
+    from ampliflow.llm.lm import SLOTS, Model, Words
 
     rng = np.random.default_rng(7)
-    top = np.arange(1, size + 1, dtype=np.uint64)
-    model, seen = Model(top), (np.zeros(SLOTS), np.zeros(SLOTS))
+    keys = np.arange(1, size + 9, dtype=np.uint64)
+    words = Words(keys, np.append(np.full(size, 50), np.full(8, 2)), np.append(rng.integers(0, 8, size), np.arange(8)))
+    model, seen = Model(words), (np.zeros(SLOTS), np.zeros(SLOTS))
+    model.begin(50 * size + 16)
     model.update(rng.integers(1, size + 200, 20_000).astype(np.uint64), np.array([0, 20_000]), seen)
     before = np.array([3, 99, 1], np.uint64)
-    text = np.concatenate([np.append(before, w) for w in [*top, np.uint64(10**9)]])  # each class word once, then the open class
-    logp, _ = model.log10(text, np.arange(0, len(text) + 1, 4))
+    text = np.concatenate([np.append(before, w) for w in [*keys, np.uint64(10**9)]])  # each word or class once, then that of new words
+    logp = model.log10(text, np.arange(0, len(text) + 1, 4))
     assert (10 ** logp[3::4]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    from pyspark.sql import functions as F
+
+    from ampliflow.llm.lm import score
+
+    rng = random.Random(11)
+    words = {k: [f"{k}{''.join(rng.choice('abcdefgh') for _ in range(4))}" for _ in range(700)] for k in "xyz"}
+    data = [(i, " ".join(w + (" " + w[::-1] if rng.random() < 0.5 else "") for w in (rng.choice(words["xyz"[i % 3]]) for _ in range(rng.randint(20, 60))))) for i in range(900)]
+    out = score(spark.createDataFrame(data, "doc_id long, text string"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2).filter("held_out").collect()
+    gain = [(r.score - r.base_score) / r.n_tokens for r in out]
+    assert len(out) > 90 and sum(gain) / len(gain) > 0.25 and sum(g > 0 for g in gain) > 0.95 * len(gain)
+    assert score(spark.createDataFrame(data[:0], "doc_id long, text string"), F.lit(True)).collect() == []
+
+
 def test_fixity_audit(spark):
     from pyspark.sql import functions as F
 
