@@ -199,7 +199,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
         at, mask = (found.flatten().field(c).to_numpy() for c in ("at", "mask"))
         k, left = np.nonzero(mask[:, None] >> np.arange(SPAN) & 1)
-        row, begin = np.unique(np.stack([row[k], at[k] - left], 1), axis=0).T
+        place = np.unique(row[k] << 40 | at[k] - left)
+        row, begin = place >> 40, place & (1 << 40) - 1
         new = np.append(True, (np.diff(row) != 0) | (np.diff(begin) > LENGTH))
         lo = np.flatnonzero(new)
         a, b, of = begin[lo], begin[np.append(lo[1:], len(row)) - 1] + LENGTH, row[lo]
