@@ -36,7 +36,8 @@ from .common import LOWER, NOT_SPACE, Scratch, annotate, components, mix, number
 UNIVERSE_BITS = 20
 BANDS, ROWS = 42, 6
 LIKELY = 164  # of 252 coordinates
-BLOCK = 1 << 18  # shingles of a block
+BLOCK = 2 << 20  # shingles of a block
+FEW, SMALL = 8, 1 << 15  # blocks into which smaller groups are split, if these have as many shingles
 BROADCAST_IDS = 2_000_000  # ids (8 bytes each) up to which the documents to compare are marked by broadcast
 
 _made: dict[str, np.ndarray] = {}
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups = components(open_.select("a", "b"), scratch, "groups").withColumnsRenamed({"id": "b", "component": "group"})
         members = open_.groupBy("b").agg(F.min("of").alias("of"), F.max("nb").alias("nb")).join(groups, "b", "left").withColumn("group", F.coalesce("group", "b"))
         members = scratch.save(members, "members")
-        blocks = members.groupBy("group").agg(F.ceil(F.sum("nb") / BLOCK).alias("blocks"))
+        blocks = members.groupBy("group").agg(F.greatest(F.ceil(F.sum("nb") / BLOCK), F.least(F.lit(FEW), F.ceil(F.sum("nb") / SMALL))).alias("blocks"))
         sets = _sets(members.select(F.col("b").alias("doc_id")), texts, ngram, scratch, "members").withColumnRenamed("doc_id", "b")
         more = scratch.save(_apart(members.join(blocks, "group").join(sets, "b"), num, den), "apart")
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "all-components")
