@@ -1 +1,3 @@
 """Amplicon analytics on Spark."""
+
+__version__ = "0.2.0"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import seq as S
+from . import __version__
 from .operators import reads as R
 from .operators import tables as T
 from .sources.sequences import register
@@ -18,20 +18,29 @@ def filter_trim(spark: SparkSession, a: argparse.Namespace) -> None:
     reads = spark.read.format("fastq").load(a.input)
     kept = R.filter_reads(reads, trim_left=a.trim_left, trim_right=a.trim_right, trunc_len=a.trunc_len, trunc_q=a.trunc_q, min_len=a.min_len, max_n=a.max_n, max_ee=a.max_ee, rm_phix=not a.keep_phix)
     kept.select("header", "seq", "sep", "qual").write.format("fastq").mode("overwrite").save(a.output)
-    stats = R.filter_stats(reads, kept).withColumn("pct_retained", F.round(100 * F.col("reads_out") / F.col("reads_in"), 2)).withColumnRenamed("sample_id", "sample")
+    stats = R.filter_stats(reads, kept).withColumn("pct_retained", F.round(100 * F.col("reads_out") / F.col("reads_in"), 1)).withColumnRenamed("sample_id", "sample")
     stats.write.mode("overwrite").csv(f"{a.output}_stats", sep="\t", header=True)
 
 
+def _asked(spark: SparkSession, path: str) -> DataFrame:
+    """Sequences of a FASTA, Parquet or CSV file (column ``sequence`` or ``seq``)."""
+    if path.endswith((".parquet", ".csv")):
+        df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True)
+        return df.select(F.upper("sequence" if "sequence" in df.columns else "seq").alias("seq")).distinct()
+    return spark.read.format("fasta").load(path).select("seq").distinct()
+
+
 def assign_taxonomy(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Write for each query its lineage and the agreement of bootstraps as TSV; lineages below ``--min-boot`` are null."""
-    queries = spark.read.format("fasta").load(a.queries).select("seq").distinct()
-    refs = spark.read.format("fasta").load(a.reference).select(S.lineage_standard(F.col("header")).alias("genus"), "seq")
-    named = T.bootstrap(queries, refs, rounds=a.rounds).select(F.col("query").alias("sequence"), F.when(F.col("boot") * 100 >= a.min_boot * a.rounds, F.col("genus")).alias("lineage"), "boot")
-    named.write.mode("overwrite").csv(a.output, sep="\t", header=True)
+    """Write for each query the names of its ranks and their bootstraps as TSV; ranks below ``--min-boot`` are null."""
+    refs = spark.read.format("fasta").load(a.reference)
+    levels = tuple(a.levels.split(","))
+    named = T.assign_taxonomy(_asked(spark, a.queries), refs, levels, a.min_boot, a.try_rc, a.rounds)
+    named.withColumnRenamed("seq", "sequence").write.mode("overwrite").csv(a.output, sep="\t", header=True)
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="ampliflow")
+    p.add_argument("--version", action="version", version=f"ampliflow {__version__}")
     sub = p.add_subparsers(required=True)
     f = sub.add_parser("filter-trim")
     f.add_argument("input")
@@ -45,6 +54,8 @@ def main(argv: list[str] | None = None) -> None:
         t.add_argument(name)
     t.add_argument("--min-boot", type=int, default=50)
     t.add_argument("--rounds", type=int, default=100)
+    t.add_argument("--levels", default=",".join(T.LEVELS))
+    t.add_argument("--try-rc", action="store_true")
     t.set_defaults(run=assign_taxonomy)
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()

@@ -107,7 +107,10 @@ def lineage_standard(header: Column) -> Column:
     return F.when((semi > 0) & ((blank == 0) | (semi < blank)), header).when(blank > 0, F.trim(F.substr(header, blank + 1))).otherwise("")
 
 
-def lineage_unite(header: Column, sentinel: str = "_UNSPECIFIED") -> Column:
+UNSPECIFIED = "_UNSPECIFIED"
+
+
+def lineage_unite(header: Column, sentinel: str = UNSPECIFIED) -> Column:
     """The lineage of a UNITE header: its fifth field without rank prefixes, unidentified ranks as a sentinel."""
     field = F.split_part(header, F.lit("|"), F.lit(5))
     return F.regexp_replace(F.regexp_replace(field, "[kpcofgs]__unidentified", sentinel), "[kpcofgs]__", "")
@@ -120,10 +123,30 @@ def ranks(lineage: Column, n: int) -> Column:
 
 
 def genus_matches(tax: Column, binomial: Column, glyph: str = "/") -> Column:
-    follows = F.lit(False)
+    """Is an assigned genus (which may be split, or carry more words) that of a binomial? False for nulls and blanks."""
+    tax, binomial = F.trim(tax), F.trim(binomial)
+    same = (tax == binomial) | F.endswith(tax, F.concat(F.lit(glyph), binomial))
     for sep in (" ", "_", glyph):
-        follows |= F.startswith(binomial, F.concat(tax, F.lit(sep)))
-    return (tax == binomial) | follows | F.endswith(binomial, F.concat(F.lit(glyph), tax))
+        same |= F.startswith(tax, F.concat(binomial, F.lit(sep)))
+    return F.coalesce(same & (tax != "") & (binomial != ""), F.lit(False))
+
+
+def genus_species(header: Column) -> tuple[Column, Column]:
+    """The second and third words of a header, blank where missing."""
+    words = F.split(F.trim(header), r"\s+")
+    return F.coalesce(F.get(words, F.lit(1)), F.lit("")), F.coalesce(F.get(words, F.lit(2)), F.lit(""))
+
+
+def codes(seq: Column) -> Column:
+    """A, C, G, T, N as 1 to 5 and a gap as 9; anything else is 0."""
+    return F.translate(F.regexp_replace(seq, "[^ACGTN-]", "?"), "ACGTN-?", "1234590")
+
+
+def ordered_distance(a: Column, b: Column, k: int = 5) -> Column:
+    """1 - the share of positions at which both have the same k-mer."""
+    n = F.least(F.length(a), F.length(b)) - k + 1
+    equal = F.filter(F.sequence(F.lit(1), n), lambda i: F.substr(a, i, F.lit(k)) == F.substr(b, i, F.lit(k)))
+    return F.when(n > 0, 1 - F.size(equal) / n)
 
 
 def fold_escherichia(genus: Column) -> Column:

@@ -113,10 +113,12 @@ class Sample:
         total = int(self.reads.sum())
         label, lock, best_e = np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, -999.0)
         stored: list[dict[int, tuple[float, int]]] = []
+        rates = np.full((0, n), -1.0)  # of each cluster and unique; -1: not compared
         centres = [int(np.argmax(self.reads))]
         p = np.ones(n)
 
         def meet(c: int, cutoff: float) -> None:
+            nonlocal rates
             centre = centres[c]
             ok = ~(o.greedy & ((self.reads > self.reads[centre]) | lock))
             found = self.compare(centre, np.flatnonzero(ok), cutoff)
@@ -127,6 +129,9 @@ class Sample:
                     best_e[i] = max(best_e[i], lam * self.reads[centre])
                     keep[i] = (lam, ham)
             stored.append(keep)
+            row = np.full((1, n), -1.0)
+            row[0, list(keep)] = [v[0] for v in keep.values()]
+            rates = np.concatenate([rates, row])
 
         def update() -> None:
             size = np.bincount(label, self.reads, len(centres))
@@ -165,8 +170,7 @@ class Sample:
             meet(len(centres) - 1, o.kdist_cutoff)
             for _ in range(MAX_SHUFFLE):
                 size = np.bincount(label, self.reads, len(centres))
-                expected = np.array([[stored[c].get(i, (-1.0, 0))[0] * size[c] for i in range(n)] for c in range(len(centres))])
-                new = expected.argmax(0)
+                new = (rates * size[:, None]).argmax(0)
                 new[centres] = label[centres]
                 if (new == label).all():
                     break

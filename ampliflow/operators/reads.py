@@ -6,6 +6,11 @@ expressions, so filters stay inside code generation and nothing is collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,21 +64,44 @@ def filter_reads(df: DataFrame, *, max_len: int = 0, orient: str | None = None,
     return df.filter(passes(F.col("seq"), F.col("qual"), **{k: v for k, v in options.items() if k not in _TRIM or k == "trunc_len"}))
 
 
-def filter_pairs(fwd: DataFrame, rev: DataFrame, fwd_options: dict | None = None, rev_options: dict | None = None) -> DataFrame:
-    """Paired filter: a pair stays if both mates do. A mate without the other is an error."""
+def filter_pairs(fwd: DataFrame, rev: DataFrame, fwd_options: dict | None = None, rev_options: dict | None = None, orient: str | None = None) -> DataFrame:
+    """Paired filter: a pair stays if both mates do. A mate without the other is an error.
+
+    Options of a side are those of ``filter_reads``. With ``orient`` forward reads must begin with it; where only the reverse
+    complement does, both mates are turned.
+    """
     both = fwd.alias("f").join(rev.alias("r"), ["sample_id", "read_id"], "full_outer")
     whole = F.when(F.col("f.seq").isNull() | F.col("r.seq").isNull(), F.raise_error(F.lit("forward and reverse reads differ"))).otherwise(F.lit(True))
-    out = both.filter(whole)
+    out = both.filter(whole).select("sample_id", "read_id", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "fr" for c in ("seq", "qual")])
+    if orient:
+        ahead, behind = F.col("f_seq").startswith(orient), S.rc(F.col("f_seq")).startswith(orient)
+        turned = {f"{x}_seq": F.when(ahead, F.col(f"{x}_seq")).otherwise(S.rc(F.col(f"{x}_seq"))) for x in "fr"} | {f"{x}_qual": F.when(ahead, F.col(f"{x}_qual")).otherwise(F.reverse(f"{x}_qual")) for x in "fr"}
+        out = out.filter(ahead | behind).withColumns(turned)
+    sides = (("f", fwd_options or {}), ("r", rev_options or {}))
     columns = {}
-    for side, options in (("f", fwd_options or {}), ("r", rev_options or {})):
-        seq, qual = trimmed(F.col(f"{side}.seq"), F.col(f"{side}.qual"), **{k: v for k, v in options.items() if k in _TRIM})
+    for side, options in sides:
+        if most := options.get("max_len", 0):
+            out = out.filter(F.length(f"{side}_seq") <= most)
+        seq, qual = trimmed(F.col(f"{side}_seq"), F.col(f"{side}_qual"), **{k: v for k, v in options.items() if k in _TRIM})
         columns |= {f"{side}_seq": seq, f"{side}_qual": qual}
-    out = out.select("sample_id", "read_id", *[c.alias(n) for n, c in columns.items()])
-    for side, options in (("f", fwd_options or {}), ("r", rev_options or {})):
-        out = out.filter(passes(F.col(f"{side}_seq"), F.col(f"{side}_qual"), **{k: v for k, v in options.items() if k not in _TRIM or k == "trunc_len"}))
+    out = out.withColumns(columns)
+    for side, options in sides:
+        out = out.filter(passes(F.col(f"{side}_seq"), F.col(f"{side}_qual"), **{k: v for k, v in options.items() if k not in (*_TRIM, "max_len") or k == "trunc_len"}))
     return out
 
 
+def cycled(seed: DataFrame, bases: int) -> DataFrame:
+    """The reads of a small table in turn (by read_id), numbered anew, until ``bases`` letters are reached."""
+    order = Window.orderBy("read_id")
+    place = seed.select("*", (F.row_number().over(order) - 1).alias("k"), F.sum(F.length("seq")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    size = seed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases")).first()
+    if not size.bases:
+        return seed
+    rounds = seed.sparkSession.range(-(-bases // size.bases)).withColumnRenamed("id", "c")
+    some = rounds.join(F.broadcast(place)).filter(F.col("c") * size.bases + F.col("upto") - F.length("seq") < bases)
+    return some.withColumn("read_id", F.col("c") * size.n + F.col("k")).select(*seed.columns)
+
+
 def filter_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     """Reads in and out of each sample; samples without any left have 0."""
     n = before.groupBy("sample_id").agg(F.count("*").alias("reads_in"))
@@ -97,18 +125,36 @@ def remove_primers(df: DataFrame, forward: str, reverse: str | None = None, max_
     return df.withColumns({c: F.substr(F.col(c), F.lit(lo + 1), hi - lo) for c in ("seq", "qual")})
 
 
+def _quality_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sample_id, seq, n, sums) of the sequences of each batch of (sample_id, seq, qual) or of such rows."""
+    for batch in batches:
+        pdf = batch.to_pandas()
+        code, first = pd.factorize(pdf["sample_id"].fillna("") + "\n" + pdf["seq"])
+        given = "sums" in pdf
+        n = np.bincount(code, pdf["n"] if given else None, len(first)).astype(np.int64)
+        wide = int(pdf["seq"].str.len().max() or 0) if len(pdf) else 0
+        sums = np.zeros((len(first), wide), np.int64)
+        for i, v in zip(code.tolist(), pdf["sums" if given else "qual"], strict=True):
+            v = v if given else np.frombuffer(v.encode(), np.uint8)
+            sums[i, : len(v)] += v if given else v.astype(np.int64) - 33
+        at = np.full(len(first), len(pdf))
+        np.minimum.at(at, code, np.arange(len(pdf)))
+        seqs = pdf["seq"].to_numpy()[at]
+        yield pa.RecordBatch.from_arrays([pa.array(pdf["sample_id"].to_numpy()[at], pa.string()), pa.array(seqs, pa.string()), pa.array(n), pa.array([x[: len(s)] for x, s in zip(sums, seqs, strict=True)], pa.list_(pa.int64()))], names=["sample_id", "seq", "n", "sums"])
+
+
 def dereplicate(df: DataFrame) -> DataFrame:
     """Unique sequences of each sample: abundance, rank (most abundant first, then by letters) and mean qualities.
 
-    Qualities are summed as integers by position, so sums do not depend on order.
+    Qualities are summed as integers by position, so sums do not depend on order: within Arrow batches before the shuffle, then
+    the few partial sums of a sequence by position.
     """
-    up = df.select("sample_id", F.upper("seq").alias("seq"), S.quals(F.col("qual")).alias("q"))
-    n = up.groupBy("sample_id", "seq").agg(F.count("*").alias("abundance"))
+    part = df.select("sample_id", F.upper("seq").alias("seq"), "qual").mapInArrow(_quality_sums, "sample_id string, seq string, n long, sums array<long>")
+    n = part.groupBy("sample_id", "seq").agg(F.sum("n").alias("abundance"), F.collect_list("sums").alias("l"))
+    total = F.when(F.size("l") == 1, F.get("l", F.lit(0))).otherwise(F.aggregate("l", F.array_repeat(F.lit(0).cast("long"), F.length("seq")), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)))
     order = Window.partitionBy("sample_id").orderBy(F.desc("abundance"), "seq")
-    ranked = n.withColumn("uniq_idx", F.row_number().over(order) - 1)
-    sums = up.select("sample_id", "seq", F.posexplode("q").alias("pos", "score")).groupBy("sample_id", "seq", "pos").agg(F.sum("score").alias("s"))
-    lists = sums.groupBy("sample_id", "seq").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l"))
-    return ranked.join(lists, ["sample_id", "seq"], "left").select("sample_id", "uniq_idx", "seq", "abundance", F.transform("l", lambda x: x["s"] / F.col("abundance")).alias("quals"))
+    ranked = n.select("sample_id", "seq", "abundance", F.transform(total, lambda x: x / F.col("abundance")).alias("quals")).withColumn("uniq_idx", F.row_number().over(order) - 1)
+    return ranked.select("sample_id", "uniq_idx", "seq", "abundance", "quals")
 
 
 def uniques(df: DataFrame) -> DataFrame:

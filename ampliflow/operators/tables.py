@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from .resolve import homes
 
 
 def sequence_table(uniques: DataFrame) -> DataFrame:
@@ -19,6 +22,14 @@ def ordered_columns(table: DataFrame, by: str = "abundance") -> DataFrame:
     return total.withColumn("column", F.row_number().over(order))
 
 
+def sample_columns(table: DataFrame, most: int = 10_000) -> list[str]:
+    """The samples of a table, for the columns of a wide one; an error if there are too many for a row."""
+    names = sorted(r.sample_id for r in table.select("sample_id").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"a wide table of more than {most} samples: keep it long")
+    return names
+
+
 def wide(table: DataFrame, samples: list[str]) -> DataFrame:
     """A row per sequence, a column per sample (0 if absent): sequences stay rows, so width is bounded by the samples."""
     return table.groupBy("seq").pivot("sample_id", samples).agg(F.sum("abundance")).fillna(0)
@@ -51,17 +62,10 @@ def contained(seqs: DataFrame, k: int = 8) -> DataFrame:
 
 
 def collapse(table: DataFrame) -> DataFrame:
-    """Merge sequences that are part of others into the most abundant of those, and on into what that is part of."""
-    edges = contained(table)
+    """Merge sequences of which one holds the other: in descending totals (ties: the lesser first), each goes to the first that holds it or that it holds, under the longest name."""
     total = table.groupBy("seq").agg(F.sum("abundance").alias("total"))
-    ends = edges.join(total.withColumnsRenamed({"seq": "inner_seq", "total": "n_in"}), "inner_seq").join(total.withColumnsRenamed({"seq": "outer_seq", "total": "n_out"}), "outer_seq")
-    # a sequence goes into the most abundant one that holds it and (transitively) into what that goes into
-    best = Window.partitionBy("inner_seq").orderBy(F.desc("n_out"), "outer_seq")
-    parent = ends.withColumn("r", F.row_number().over(best)).filter("r = 1").select(F.col("inner_seq").alias("seq"), F.col("outer_seq").alias("to"))
-    for _ in range(6):  # paths are strictly longer sequences; six doublings cover chains of 64
-        up = parent.select(F.col("seq").alias("to"), F.col("to").alias("next"))
-        parent = parent.join(up, "to", "left").select("seq", F.coalesce("next", "to").alias("to"))
-    return table.join(parent, "seq", "left").groupBy("sample_id", F.coalesce("to", "seq").alias("seq")).agg(F.sum("abundance").alias("abundance"))
+    to = homes(total, contained(table).toDF("a", "b"))
+    return table.join(to, "seq", "left").groupBy("sample_id", F.coalesce("to", "seq").alias("seq")).agg(F.sum("abundance").alias("abundance"))
 
 
 def track(stages: list[tuple[str, DataFrame, str | None]]) -> DataFrame:
@@ -104,6 +108,20 @@ def consensus(flags: DataFrame, min_sample_fraction: float = 0.9, ignore_n_negat
     return n.withColumn("is_chimera", (F.col("nflag") > 0) & enough)
 
 
+def remove_bimeras(table: DataFrame, method: str = "consensus", flags: Callable[[DataFrame], DataFrame] = ungapped_bimeras, **options) -> DataFrame:
+    """The table without chimeras: by consensus of the samples, of all samples pooled, or each sample's own."""
+    if method == "per-sample":
+        return table.join(flags(table).filter("flag").select("sample_id", "seq"), ["sample_id", "seq"], "left_anti")
+    if method == "pooled":
+        one = table.groupBy("seq").agg(F.sum("abundance").alias("abundance")).withColumn("sample_id", F.lit("all"))
+        bad = flags(one).filter("flag")
+    elif method == "consensus":
+        bad = consensus(flags(table), **options).filter("is_chimera")
+    else:
+        raise ValueError(f"no such method: {method}")
+    return table.join(bad.select("seq"), "seq", "left_anti")
+
+
 def species(queries: DataFrame, refs: DataFrame, keep: float = 1, try_rc: bool = False) -> DataFrame:
     """Exact species: queries (seq) that are part of a reference (seq, genus, species). keep: most species to name."""
     k = 8
@@ -124,6 +142,14 @@ def species(queries: DataFrame, refs: DataFrame, keep: float = 1, try_rc: bool =
     return q.join(named, "seq", "left").select("seq", "genus", "species")
 
 
+def add_species(taxa: DataFrame, refs: DataFrame, column: str = "Genus", keep: float = 1, try_rc: bool = False) -> DataFrame:
+    """``taxa(seq, ...)`` with Species: the exact species where its genus agrees with the one assigned."""
+    found = species(taxa, refs, keep, try_rc).select("seq", F.col("genus").alias("_genus"), F.col("species").alias("_species"))
+    fits = S.genus_matches(F.col(column), F.col("_genus"))
+    kept = [c for c in taxa.columns if c.lower() != "species"]
+    return taxa.select(*kept).join(found, "seq", "left").select(*kept, F.when(fits, F.col("_species")).alias("Species"))
+
+
 def bayes_counts(refs: DataFrame, k: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Naive Bayes training of refs(genus, seq): references of each genus, of each (genus, k-mer), and priors of k-mers."""
     genera = refs.groupBy("genus").agg(F.count("*").alias("n_refs"))
@@ -146,15 +172,74 @@ def bayes_best(queries: DataFrame, refs: DataFrame, k: int = 8, draws: DataFrame
     size = times.groupBy(*keys).agg(F.sum("times").alias("size"))
     gain = times.join(counts.join(priors, "kmer"), "kmer").groupBy(*keys, "genus").agg(F.sum(F.col("times") * F.log1p(F.col("n") / F.col("prior"))).alias("gain"))
     score = gain.join(genera, "genus").join(size, keys).withColumn("score", F.round(F.col("gain") - F.col("size") * F.ln(F.col("n_refs") + 1), 9))
-    return score.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), "genus")).alias("b")).select(*keys, "b.genus")
+    best = score.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), "genus")).alias("b")).select(*keys, "b.genus")
+    return best if draws is not None else queries.select(F.col("seq").alias("query")).distinct().join(best, "query", "left")
 
 
-def bootstrap(queries: DataFrame, refs: DataFrame, rounds: int = 100, k: int = 8) -> DataFrame:
-    """Agreement of ``rounds`` resampled assignments with the full one: (query, genus, boot). Draws are keyed by content, so results do not depend on partitioning."""
-    full = bayes_best(queries, refs, k)
-    long = queries.filter(F.length("seq") >= 50).select(F.col("seq").alias("query"), S.kmers(F.col("seq"), k).alias("words")).filter(F.size("words") > 0)
+def resampled(queries: DataFrame, refs: DataFrame, rounds: int = 100, k: int = 8) -> DataFrame:
+    """(query, round, genus) of ``rounds`` draws of an eighth of a query's k-mers; draws are keyed by content (MD5), so they do not depend on partitioning."""
+    long = queries.select(F.col("seq").alias("query")).distinct().filter(F.length("query") >= 50).select("query", S.kmers(F.col("query"), k).alias("words")).filter(F.size("words") > 0)
     n = F.greatest(F.floor(F.length("query") / 8), F.lit(1)).cast("int")
     drawn = long.select("query", "words", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), n.alias("n"))
-    drawn = drawn.select("query", "round", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda d: F.get(F.col("words"), F.pmod(F.xxhash64("query", "round", d), F.size("words")).cast("int")))).alias("kmer"))
-    again = bayes_best(queries, refs, k, drawn).withColumnRenamed("genus", "other")
+    at = lambda d: (F.conv(F.left(F.md5(F.concat_ws(":", "query", "round", d)), F.lit(8)), 16, 10).cast("long") % F.size("words")).cast("int")
+    drawn = drawn.select("query", "round", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda d: F.get(F.col("words"), at(d)))).alias("kmer"))
+    return bayes_best(queries, refs, k, drawn)
+
+
+def bootstrap(queries: DataFrame, refs: DataFrame, rounds: int = 100, k: int = 8) -> DataFrame:
+    """Agreement of ``rounds`` resampled assignments with the full one: (query, genus, boot)."""
+    full = bayes_best(queries, refs, k).filter("genus IS NOT NULL")
+    again = resampled(queries, refs, rounds, k).withColumnRenamed("genus", "other")
     return full.join(again, "query").groupBy("query", "genus").agg(F.count_if(F.col("genus") == F.col("other")).alias("boot"))
+
+
+LEVELS = ("Kingdom", "Phylum", "Class", "Order", "Family", "Genus", "Species")
+
+
+def assign_taxonomy(queries: DataFrame, refs: DataFrame, levels: tuple[str, ...] = LEVELS, min_boot: int = 50, try_rc: bool = False, rounds: int = 100, unite: bool | None = None) -> DataFrame:
+    """Lineages of queries(seq) from references(header, seq): a column and ``<level>_boot`` for each level, one row per query.
+
+    A reference's lineage is the whole of its ranks; a rank's bootstrap is the share (percent of ``rounds``) of draws that agree
+    in it and all above. The first rank below ``min_boot`` is null, and so are those below it; unspecified ranks are null.
+    Queries of under 50 letters are unassigned. With ``try_rc`` a query is turned if its other strand scores higher in its own words.
+    """
+    if unite is None:
+        unite = is_unite(refs)
+    line = S.lineage_unite(F.col("header")) if unite else S.lineage_standard(F.col("header"))
+    known = refs.select(S.ranks(line, len(levels)).alias("ranks"), "seq").select(F.to_json(F.struct("ranks"), {"ignoreNullFields": "false"}).alias("genus"), "seq")
+    asked = queries.select("seq").distinct()
+    if try_rc:
+        words = known.select(F.explode(F.array_distinct(S.kmers(F.col("seq"), 8))).alias("kmer")).distinct()
+        strands = asked.select("seq", F.col("seq").alias("strand")).unionByName(asked.select("seq", S.rc(F.col("seq")).alias("strand")))
+        hits = strands.select("seq", "strand", F.explode(S.kmers(F.col("strand"), 8)).alias("kmer")).join(words, "kmer").groupBy("seq", "strand").agg(F.count("*").alias("n"))
+        best = strands.join(hits, ["seq", "strand"], "left").groupBy("seq").agg(F.max_by("strand", F.struct(F.coalesce("n", F.lit(0)), F.col("seq") == F.col("strand"))).alias("strand"))
+        asked = best
+    else:
+        asked = asked.withColumn("strand", F.col("seq"))
+    strand = asked.select(F.col("strand").alias("seq")).distinct()
+    ranks = lambda c: F.from_json(c, "ranks array<string>")["ranks"]
+    full = bayes_best(strand, known).select("query", ranks(F.col("genus")).alias("full"))
+    again = resampled(strand, known, rounds).select("query", ranks(F.col("genus")).alias("other"))
+    agree = [F.count_if(F.slice("full", 1, k + 1) == F.slice("other", 1, k + 1)).alias(f"b{k}") for k in range(len(levels))]
+    votes = full.join(again, "query").groupBy("query").agg(*agree)
+    out = asked.join(full, asked.strand == full["query"], "left").drop("query").join(votes, asked.strand == votes["query"], "left").drop("query")
+    columns, open_ = [], F.lit(True)
+    for k, level in enumerate(levels):
+        rank, boot = F.get("full", F.lit(k)), F.round(100 * F.col(f"b{k}") / rounds, 0).cast("long")
+        named = rank.isNotNull() & (rank != S.UNSPECIFIED)
+        open_ = open_ & (~named | (100 * F.col(f"b{k}") >= min_boot * rounds))
+        columns += [F.when(named & open_, rank).alias(level), boot.alias(f"{level}_boot")]
+    return out.select("seq", *columns)
+
+
+def is_unite(refs: DataFrame, look: int = 20) -> bool:
+    """Do the first headers look like those of the UNITE database?"""
+    first = refs.orderBy("ref_id").limit(look) if "ref_id" in refs.columns else refs.limit(look)
+    return bool(first.agg(F.bool_or(F.contains("header", F.lit("FU|refs")) | F.contains("header", F.lit("FU|reps")))).first()[0])
+
+
+def rank_totals(table: DataFrame, taxa: DataFrame, levels: list[str]) -> DataFrame:
+    """Reads of a sequence table with a name at each rank: (stage, n)."""
+    joined = table.join(taxa, "seq", "left")
+    out = joined.agg(*[F.coalesce(F.sum(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("abundance"))), F.lit(0)).cast("long").alias(c) for c in levels])
+    return out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n")) for c in levels])).alias("x")).select("x.*")

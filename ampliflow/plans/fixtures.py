@@ -20,13 +20,16 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, sample_id, seq, qual: amplicons with errors, unknown letters, PhiX and chimeras."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("e"), F.col("event_type").alias("sample_id"))
+    e = e.repartition(spark.sparkContext.defaultParallelism)  # the table is one file of one row group
     e = e.withColumns({"tid": F.least(F.col("e") * 7919 % 40, F.col("e") * 104729 % 40, F.col("e") * 611953 % 40), "h": F.col("e") * 15485863 % 1000, "p": (1 + F.col("e") * 32452843 % LENGTH).cast("int")})
     t = F.broadcast(templates(spark, sf_dir))  # 40 rows
     e = e.join(t, "tid").join(t.select(F.pmod(F.col("tid") + 39, F.lit(40)).alias("tid"), F.col("tseq").alias("tseq2")), "tid")
     base = F.substr("tseq", F.col("p"), F.lit(1))
     put = lambda x: F.concat(F.substr("tseq", F.lit(1), F.col("p") - 1), x, F.substr("tseq", F.col("p") + 1))
     seq = F.when(F.col("h") < 250, put(F.translate(base, "ACGT", "CGTA"))).when(F.col("h") < 280, put(F.lit("N"))).when(F.col("h") < 300, PHIX[:LENGTH]).when(F.col("h") < 330, F.concat(F.left("tseq", F.lit(32)), F.substr("tseq2", F.lit(33)))).otherwise(F.col("tseq"))
-    qual = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(LENGTH)), lambda i: F.char(33 + F.when((F.col("h") < 280) & (i == F.col("p")), 8).otherwise(20 + (F.col("e") * 17 + i * 13) % 21))), "")
+    runs = ["".join(chr(53 + (r + 13 * i) % 21) for i in range(1, LENGTH + 1)) for r in range(21)]
+    run = F.get(F.array(*map(F.lit, runs)), (F.col("e") * 17 % 21).cast("int"))
+    qual = F.when(F.col("h") < 280, F.concat(F.substr(run, F.lit(1), F.col("p") - 1), F.lit(chr(41)), F.substr(run, F.col("p") + 1))).otherwise(run)
     return e.select(F.col("e").alias("read_id"), "sample_id", seq.alias("seq"), qual.alias("qual"), "tid", "h")
 
 

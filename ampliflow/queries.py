@@ -11,7 +11,9 @@ from .kernels.errors import binned_errors, loess_errors
 from .operators import denoise as D
 from .operators import reads as R
 from .operators import tables as T
-from .plans.fixtures import READS, reads, templates
+from .operators.resolve import shared_path, shifts
+from .plans.fixtures import LENGTH, READS, reads, templates
+from .sources.sequences import register
 
 ORACLES: dict[str, str] = {}
 START = "TT"
@@ -198,7 +200,7 @@ ORACLES["seqtab_long"] = f"WITH {FILTERED} SELECT * FROM uniq"
 
 def seqtab_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = seqtab_long(spark, sf_dir)
-    names = sorted(r.sample_id for r in t.select("sample_id").distinct().limit(10_000).collect())
+    names = T.sample_columns(t)
     w = T.wide(t, names)
     return w.select("seq", F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])).alias("counts"), F.lit(len(names)).cast("long").alias("n_samples"))
 
@@ -245,6 +247,22 @@ def collapse_no_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.collapse(_parts(spark, sf_dir))
 
 
+ORACLES["collapse_no_mismatch"] = f"""WITH {READS}, {_PARTS}, d AS (SELECT seq, sum(abundance) AS n FROM parts GROUP BY seq), h AS (SELECT a.seq, arg_min(b.seq, (-b.n, b.seq)) AS home FROM d a JOIN d b ON a.seq <> b.seq AND contains(b.seq, a.seq) GROUP BY a.seq)
+SELECT 's' AS sample_id, coalesce(home, d.seq) AS seq, CAST(sum(n) AS BIGINT) AS abundance FROM d LEFT JOIN h USING (seq) GROUP BY coalesce(home, d.seq)"""
+
+
+def shift_denovo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = templates(spark, sf_dir)
+    cut = lambda at, n, more: t.select(F.substr("tseq", F.lit(at), F.lit(n)).alias("seq"), (F.col("tid") + more).alias("abundance"))
+    return shifts(cut(1, 44, 500).unionByName(cut(15, 50, 100)).unionByName(cut(46, 19, 1)))
+
+
+ORACLES["shift_denovo"] = f"""WITH {READS}, u AS (SELECT seq, sum(n) AS n FROM (SELECT left(tseq, 44) AS seq, tid + 500 AS n FROM t UNION ALL SELECT substr(tseq, 15, 50), tid + 100 FROM t UNION ALL SELECT substr(tseq, 46, 19), tid + 1 FROM t) GROUP BY seq),
+ed AS (SELECT DISTINCT a.seq, b.seq AS other FROM u a JOIN u b ON (-b.n, b.seq) < (-a.n, a.seq), unnest(range(20, least(length(a.seq), length(b.seq)))) AS x(k) WHERE right(a.seq, CAST(k AS INT)) = left(b.seq, CAST(k AS INT)) OR left(a.seq, CAST(k AS INT)) = right(b.seq, CAST(k AS INT))),
+f AS (SELECT DISTINCT seq FROM ed WHERE other NOT IN (SELECT seq FROM ed))
+SELECT u.seq, CAST(n AS BIGINT) AS abundance, f.seq IS NOT NULL AS is_shift FROM u LEFT JOIN f ON u.seq = f.seq"""
+
+
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = templates(spark, sf_dir)
     return t.select(F.concat(F.lit("TTACG"), "tseq", F.lit("GGATC")).alias("seq"), F.concat(F.lit("Genus"), F.floor(F.col("tid") / 2)).alias("genus"), F.concat(F.lit("species"), "tid").alias("species"))
@@ -296,6 +314,29 @@ def nb_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.bootstrap(seqtab_long(spark, sf_dir).select("seq").distinct(), _reference(spark, sf_dir))
 
 
+_BOOT = """b AS (SELECT query, rnd, substr(query, CAST(1 + CAST('0x' || left(md5(query || ':' || rnd || ':' || d), 8) AS BIGINT) % (length(query) - 7) AS INT), 8) AS kmer, count(*) AS times FROM q, unnest(range(1, 101)) AS u(rnd), unnest(range(1, CAST(greatest(floor(length(query) / 8), 1) AS BIGINT) + 1)) AS v(d) GROUP BY ALL),
+bz AS (SELECT query, rnd, sum(times) AS size FROM b GROUP BY ALL), bs AS (SELECT query, rnd, genus, sum(times * ln(1 + n / prior)) AS gain FROM b JOIN c USING (kmer) JOIN p USING (kmer) GROUP BY ALL),
+bo AS (SELECT query, rnd, genus, round(gain - size * ln(m + 1), 9) AS score FROM bs JOIN g USING (genus) JOIN bz USING (query, rnd)), again AS (SELECT query, rnd, arg_min(genus, (-score, genus)) AS other FROM bo GROUP BY ALL)"""
+_FULL = ORACLES["nb_classify"].removeprefix("WITH ").replace("SELECT query, arg_min(genus, (-score, genus)) AS genus FROM o GROUP BY query", "full_ AS (SELECT query, arg_min(genus, (-score, genus)) AS genus FROM o GROUP BY query)").replace("\nfull_", ",\nfull_")
+ORACLES["nb_bootstrap"] = f"WITH {_FULL}, {_BOOT} SELECT query, genus, count(*) FILTER (WHERE genus = other) AS boot FROM full_ JOIN again USING (query) GROUP BY query, genus"
+LEVELS = ("Kingdom", "Phylum", "Class", "Genus")
+
+
+def _lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda x, n: F.concat(F.lit(x), F.floor(F.col("tid") / n))
+    return templates(spark, sf_dir).select(F.concat_ws(";", part("K", 20), part("P", 10), part("C", 5), part("G", 2), F.lit("")).alias("header"), F.concat(F.lit("TTACG"), "tseq", F.lit("GGATC")).alias("seq"))
+
+
+def taxonomy_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.assign_taxonomy(seqtab_long(spark, sf_dir).select("seq"), _lineages(spark, sf_dir), LEVELS, min_boot=90)
+
+
+_LINES = _FULL.replace("'Genus' || CAST(floor(tid / 2) AS BIGINT) AS genus, 'TTACG'", """'{"ranks":["K' || tid // 20 || '","P' || tid // 10 || '","C' || tid // 5 || '","G' || tid // 2 || '"]}' AS genus, 'TTACG'""")
+_RANK = "json_extract_string({0}, '$.ranks[{1}]')"
+ORACLES["taxonomy_ranks"] = f"""WITH {_LINES}, {_BOOT}, v AS (SELECT query, {", ".join(f"CAST(count(*) FILTER (WHERE " + " AND ".join(f"{_RANK.format('genus', j)} = {_RANK.format('other', j)}" for j in range(k + 1)) + f") AS BIGINT) AS b{k}" for k in range(4))} FROM full_ JOIN again USING (query) GROUP BY query)
+SELECT query AS seq, {", ".join(f"CASE WHEN {' AND '.join(f'b{j} >= 90' for j in range(k + 1))} THEN {_RANK.format('genus', k)} END AS {LEVELS[k]}, b{k} AS {LEVELS[k]}_boot" for k in range(4))} FROM full_ JOIN v USING (query)"""
+
+
 def bimera_ungapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.ungapped_bimeras(seqtab_long(spark, sf_dir))
 
@@ -313,6 +354,20 @@ def bimera_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["bimera_consensus"] = f"WITH {FILTERED}, {_BIM}, n AS (SELECT seq, count(*) AS nsam, count(*) FILTER (WHERE flag) AS nflag FROM flags GROUP BY seq) SELECT *, nflag > 0 AND (nflag >= nsam OR nflag >= (nsam - 1) * 0.9) AS is_chimera FROM n"
 
 
+def bimera_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.remove_bimeras(seqtab_long(spark, sf_dir), "pooled")
+
+
+ORACLES["bimera_pooled"] = f"WITH {FILTERED.replace('uniq AS (SELECT sample_id, upper(seq)', 'each AS (SELECT sample_id, upper(seq)')}, uniq AS (SELECT 'all' AS sample_id, seq, sum(abundance) AS abundance FROM each GROUP BY seq), {_BIM} SELECT * FROM each WHERE seq NOT IN (SELECT seq FROM flags WHERE flag)"
+
+
+def bimera_per_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.remove_bimeras(seqtab_long(spark, sf_dir), "per-sample")
+
+
+ORACLES["bimera_per_sample"] = f"WITH {FILTERED}, {_BIM} SELECT sample_id, seq, abundance FROM flags WHERE NOT flag"
+
+
 def hamming_ungapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = templates(spark, sf_dir)
     return reads(spark, sf_dir).join(F.broadcast(t), "tid").select("read_id", S.hamming(F.col("seq"), F.col("tseq")).cast("long").alias("distance"))
@@ -329,6 +384,106 @@ def uniques_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["uniques_fasta"] = f"WITH {FILTERED} SELECT sample_id, '>sq' || (uniq_idx + 1) || ';size=' || abundance || ';' || chr(10) || seq AS entry FROM ({_RANKED})"
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all kinds that an assigned genus can have, and a header."""
+    n = F.col("tid")
+    genus = F.concat(F.lit("Genus"), n)
+    tax = F.when(n % 6 == 0, genus).when(n % 6 == 1, F.concat(genus, F.lit("/Other"))).when(n % 6 == 2, F.concat(F.lit("Other/"), genus)).when(n % 6 == 3, F.concat(genus, F.lit("x"))).when(n % 6 == 4, F.concat(genus, F.lit("_1")))
+    header = F.when(n % 3 == 0, F.concat(F.lit("id  "), genus, F.lit(" sp"), n)).when(n % 3 == 1, F.concat(F.lit("id "), genus)).otherwise("id")
+    return templates(spark, sf_dir).select("tid", "tseq", genus.alias("genus"), tax.alias("tax"), header.alias("header"))
+
+
+_NAMED = "nm AS (SELECT tid, tseq, 'Genus' || tid AS genus, CASE tid % 6 WHEN 0 THEN 'Genus' || tid WHEN 1 THEN 'Genus' || tid || '/Other' WHEN 2 THEN 'Other/Genus' || tid WHEN 3 THEN 'Genus' || tid || 'x' WHEN 4 THEN 'Genus' || tid || '_1' END AS tax FROM t)"
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _named(spark, sf_dir)
+    g, s = S.genus_species(F.col("header"))
+    folded = S.fold_escherichia(F.when(F.col("tid") % 2 == 0, "Shigella flexneri").otherwise(F.col("genus")))
+    return n.select("tid", S.genus_matches(F.col("tax"), F.col("genus")).alias("matches"), g.alias("g"), s.alias("s"), folded.alias("folded"), S.count_text(F.col("tid") * 12_300 + F.col("tid") * F.col("tid") * 1_000).alias("said"), S.codes(F.concat("tseq", F.lit("N-x"))).alias("codes"))
+
+
+ORACLES["names"] = f"""WITH {READS}, {_NAMED}, c AS (SELECT *, tid * 12300 + tid * tid * 1000 AS n FROM nm)
+SELECT tid, tid % 6 IN (0, 1, 2, 4) AS matches, CASE WHEN tid % 3 < 2 THEN genus ELSE '' END AS g, CASE WHEN tid % 3 = 0 THEN 'sp' || tid ELSE '' END AS s, CASE WHEN tid % 2 = 0 THEN 'Escherichia/Shigella' ELSE genus END AS folded,
+  CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000.0) WHEN n >= 1000 THEN printf('%.1fK', n / 1000.0) ELSE CAST(n AS VARCHAR) END AS said, translate(tseq, 'ACGT', '1234') || '590' AS codes FROM c"""
+
+
+def species_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _named(spark, sf_dir)
+    refs = n.select(F.concat(F.lit("TTACG"), "tseq", F.lit("GGATC")).alias("seq"), "genus", F.concat(F.lit("species"), "tid").alias("species"))
+    return T.add_species(n.select(F.col("tseq").alias("seq"), F.col("tax").alias("Genus")), refs)
+
+
+ORACLES["species_added"] = f"WITH {READS}, {_NAMED} SELECT tseq AS seq, tax AS Genus, CASE WHEN tid % 6 IN (0, 1, 2, 4) THEN 'species' || tid END AS Species FROM nm"
+
+
+def unite_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _named(spark, sf_dir)
+    return spark.createDataFrame([("plain", T.is_unite(n)), ("unite", T.is_unite(n.withColumn("header", F.concat("header", F.lit("|SH1.1FU|reps|k__Fungi")))))], "kind string, found boolean")
+
+
+ORACLES["unite_headers"] = "SELECT 'plain' AS kind, false AS found UNION ALL SELECT 'unite', true"
+
+
+def ordered_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 - the share of equal 5-mers at equal positions, of reads and their amplicons."""
+    r = reads(spark, sf_dir).join(F.broadcast(templates(spark, sf_dir)), "tid")
+    return r.select("read_id", F.round(S.ordered_distance(F.col("seq"), F.col("tseq")), 6).alias("distance"))
+
+
+ORACLES["ordered_distances"] = f"WITH {READS} SELECT read_id, round(1 - len(list_filter(range(1, 61), lambda i: substr(seq, i, 5) = substr(tseq, i, 5))) / 60, 6) AS distance FROM reads JOIN t USING (tid)"
+
+
+def cycled_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A benchmark case: the reads in turn until 2,000,000 bases are reached."""
+    return R.cycled(reads(spark, sf_dir).filter("read_id < 500").select("read_id", "sample_id", "seq", "qual"), 2_000_000)
+
+
+ORACLES["cycled_reads"] = f"""WITH {READS}, s AS (SELECT *, row_number() OVER (ORDER BY read_id) - 1 AS k, sum(length(seq)) OVER (ORDER BY read_id) AS upto FROM reads WHERE read_id < 500), z AS (SELECT count(*) AS n, sum(length(seq)) AS bases FROM s)
+SELECT CAST(c * n + k AS BIGINT) AS read_id, sample_id, seq, qual FROM s, z, unnest(range(0, CAST(ceil(2000000 / bases) AS BIGINT))) AS u(c) WHERE c * bases + upto - length(seq) < 2000000"""
+
+
+def rank_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _named(spark, sf_dir).select(F.substr("tseq", F.lit(3), F.lit(LENGTH - 4)).alias("seq"), "genus", "tax").dropDuplicates(["seq"])
+    return T.rank_totals(seqtab_long(spark, sf_dir), n.withColumn("tax", F.when(F.col("tax").contains("x"), "").otherwise(F.col("tax"))), ["genus", "tax"])
+
+
+ORACLES["rank_totals"] = f"""WITH {FILTERED}, {_NAMED}, l AS (SELECT DISTINCT ON (seq) substr(tseq, 3, 60) AS seq, genus, CASE WHEN tax LIKE '%x%' THEN '' ELSE tax END AS tax FROM nm), j AS (SELECT abundance, genus, tax FROM uniq LEFT JOIN l USING (seq))
+SELECT 'genus' AS stage, CAST(coalesce(sum(abundance) FILTER (WHERE coalesce(genus, '') <> ''), 0) AS BIGINT) AS n FROM j UNION ALL SELECT 'tax', CAST(coalesce(sum(abundance) FILTER (WHERE coalesce(tax, '') <> ''), 0) AS BIGINT) FROM j"""
+
+
+def oriented_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, r = _mates(spark, sf_dir)
+    return R.filter_pairs(f, r, {"min_len": 20, "rm_phix": False, "max_len": 40}, {"min_len": 20, "rm_phix": False}, orient=START)
+
+
+ORACLES["oriented_pairs"] = f"""WITH {READS}, m AS (SELECT sample_id, read_id, left(seq, 40) AS f, left(qual, 40) AS fq, left({_RC.format("seq")}, 40) AS r, left(reverse(qual), 40) AS rq FROM reads), o AS (SELECT *, starts_with(f, '{START}') AS ahead, starts_with({_RC.format("f")}, '{START}') AS behind FROM m)
+SELECT sample_id, read_id, CASE WHEN ahead THEN f ELSE {_RC.format("f")} END AS f_seq, CASE WHEN ahead THEN fq ELSE reverse(fq) END AS f_qual, CASE WHEN ahead THEN r ELSE {_RC.format("r")} END AS r_seq, CASE WHEN ahead THEN rq ELSE reverse(rq) END AS r_qual FROM o WHERE (ahead OR behind) AND f NOT LIKE '%N%' AND r NOT LIKE '%N%'"""
+
+
+def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as FASTQ, a file for each sample in the order of the reads, and read again."""
+    register(spark)
+    r = reads(spark, sf_dir).select("sample_id", "read_id", F.concat(F.lit("@"), "read_id").alias("header"), "seq", F.lit("+").alias("sep"), "qual")
+    path = shared_path(spark)
+    r.repartition("sample_id").sortWithinPartitions("sample_id", "read_id").write.format("fastq").option("bySample", "true").option("samples", "none").mode("overwrite").save(path)
+    return spark.read.format("fastq").load(path).select("sample_id", "read_id", "header", "seq", "qual")
+
+
+ORACLES["fastq_round_trip"] = f"WITH {READS} SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY read_id) - 1 AS read_id, '@' || read_id AS header, seq, qual FROM reads"
+
+
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    path = shared_path(spark)
+    uniques_of = R.uniques(filtered(spark, sf_dir)).select(F.concat("sample_id", F.lit("."), F.col("uniq_idx") + 1, F.lit(";size="), "abundance", F.lit(";")).alias("header"), F.lower("seq").alias("seq"))
+    uniques_of.write.format("fasta").mode("overwrite").save(path)
+    return spark.read.format("fasta").load(path).select("header", "seq")
+
+
+ORACLES["fasta_round_trip"] = f"WITH {FILTERED} SELECT sample_id || '.' || (uniq_idx + 1) || ';size=' || abundance || ';' AS header, seq FROM ({_RANKED})"
+
+
 def track_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = seqtab_long(spark, sf_dir)
     bad = bimera_consensus(spark, sf_dir).filter("is_chimera").select("seq")
@@ -410,6 +565,25 @@ def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.denoise(R.dereplicate(filtered(spark, sf_dir)), err)
 
 
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.profiles(R.dereplicate(filtered(spark, sf_dir)), loess_errors(_matrix(trans_ungapped(spark, sf_dir))))
+
+
+def positional_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.substitutions(_profile(spark, sf_dir))
+
+
+def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.cluster_quality(_profile(spark, sf_dir))
+
+
+def denoised_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of both mates to unique sequences, to clusters, to merged pairs."""
+    f, r = _mates(spark, sf_dir)
+    err = loess_errors(_matrix(trans_ungapped(spark, sf_dir)))
+    return D.merge_denoised(R.filter_reads(f, max_ee=1), R.filter_reads(r, max_ee=1), err, err)
+
+
 def merged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, r = _mates(spark, sf_dir)
     clean = lambda d: d.filter(~F.col("seq").contains("N"))
@@ -435,7 +609,7 @@ def bimera_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _own() -> dict:
-    names = {"filtered", "reads", "templates", "queries", "oracle_sql"}
+    names = {"filtered", "reads", "templates", "queries", "oracle_sql", "register", "shared_path", "shifts"}
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in names}
 
 

@@ -1,7 +1,9 @@
 """FASTQ and FASTA as Spark data sources: ``register(spark)``, then ``spark.read.format("fastq").load(path)``.
 
 One partition per file (gzip cannot be split); rows come in Arrow batches with
-their ordinal in the file. Writing makes one file per task. Paths may be
+their ordinal in the file. Writing makes one file per task, or per sample with
+the option ``bySample`` (``samples``: names that get a file even without rows);
+FASTA records without a header are numbered ``task.record``. Paths may be
 folders, globs or comma-separated lists, gzip by suffix.
 """
 
@@ -11,7 +13,7 @@ import glob
 import gzip
 import os
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -93,8 +95,12 @@ class _Done(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, fastq: bool, compress: bool, overwrite: bool):
-        self.path, self.fastq, self.compress = path.removeprefix("file:"), fastq, compress
+    """A file for each task, or with ``by_sample`` for each sample (rows must come sorted by sample, one task a sample)."""
+
+    def __init__(self, path: str, fastq: bool, compress: bool, overwrite: bool, by_sample: bool = False, samples: str = ""):
+        self.path, self.fastq, self.by_sample = path.removeprefix("file:"), fastq, by_sample
+        self.end = (".fastq" if fastq else ".fasta") + (".gz" if compress else "")
+        self.samples = [x for x in samples.split(",") if x]
         os.makedirs(self.path, exist_ok=True)
         if overwrite:
             for f in _files(self.path, (".fastq", ".fasta")):
@@ -104,15 +110,24 @@ class _Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         c = TaskContext.get()
-        name = f"part-{c.partitionId():05d}" + (".fastq" if self.fastq else ".fasta") + (".gz" if self.compress else "")
-        path = os.path.join(self.path, name)
-        draft = f"{path}.{c.taskAttemptId()}.draft" + (".gz" if self.compress else "")
-        with _open(draft, "w") as f:
-            for k, r in enumerate(rows):
-                d = r.asDict()
-                f.write(f"{d['header']}\n{d['seq']}\n{d.get('sep') or '+'}\n{d['qual']}\n" if self.fastq else f">{d.get('header') or k + 1}\n{d['seq']}\n")
-        os.replace(draft, path)
-        return _Done(path)
+        own = f"part-{c.partitionId():05d}"
+        for name, some in groupby(rows, lambda r: r["sample_id"] if self.by_sample else own):
+            path = os.path.join(self.path, f"{name}{self.end}")
+            draft = f"{path}.{c.taskAttemptId()}.draft" + (".gz" if self.end.endswith(".gz") else "")
+            with _open(draft, "w") as f:
+                for k, r in enumerate(some):
+                    d = r.asDict()
+                    f.write(f"{d['header']}\n{d['seq']}\n{d.get('sep') or '+'}\n{d['qual']}\n" if self.fastq else f">{d.get('header') or f'{c.partitionId()}.{k + 1}'}\n{d['seq']}\n")
+            os.replace(draft, path)
+        return _Done(self.path)
+
+    def commit(self, messages: list) -> None:
+        """Declared samples without a row get an empty file."""
+        for name in self.samples:
+            path = os.path.join(self.path, f"{name}{self.end}")
+            if not os.path.exists(path):
+                with _open(path, "w"):
+                    pass
 
 
 class FastqSource(DataSource):
@@ -134,7 +149,7 @@ class FastqSource(DataSource):
         return _Reader(_files(self.options["path"], kinds), self.fastq, self._most())
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], self.fastq, self.options.get("compression", "gzip") == "gzip", overwrite)
+        return _Writer(self.options["path"], self.fastq, self.options.get("compression", "gzip") == "gzip", overwrite, self.options.get("bySample") == "true", self.options.get("samples", ""))
 
 
 class FastaSource(FastqSource):
