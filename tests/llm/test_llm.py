@@ -461,6 +461,75 @@ def test_fixity_audit(spark):
     assert audit(a, a).collect() == []
 
 
+def test_fixity_of_warc_files(spark, tmp_path):
+    import gzip
+
+    from ampliflow.llm.warc import audit, read_warc
+
+    def record(name, body):
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <" + name + b">\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+    some = [record(b"r%d" % k, b"x%d" % k * 900) for k in range(200)]
+    for folder, parts in (("a", some), ("b", [*some[:70], some[70].replace(b"x70", b"y70", 1), *some[71:]])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "one.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+        (tmp_path / folder / "two.warc").write_bytes(some[3] + b"junk\r\n" + some[4][:-9])
+    a, b = (read_warc(spark, str(tmp_path / x)) for x in "ab")
+    assert a.filter("file = 'one.warc.gz'").count() == 200 and a.filter("file = 'two.warc'").count() == 3
+    assert [(r.file, r.offset, r.status, r.page_id) for r in audit(a, b).collect()] == [("one.warc.gz", sum(map(len, some[:70])), "corrupt", "<r70>")]
+    assert audit(a, a.limit(0)).filter("status = 'missing'").count() == 203
+
+
+def test_urls_in_any_order_and_held_out_accuracy(spark):
+    from ampliflow.llm.urls import filter_urls
+
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    good = lambda h: f"https://{h}/{word(6)}/{word(5)}"
+    bad = lambda h: f"http://{h}/{rng.randrange(10**9)}?a={rng.randrange(10**6)}&b={word(3)}&c=%20{rng.randrange(99)}"
+    hosts = [f"{word(7)}.{e}" for e in ("aa", "bb") for _ in range(40)]
+    rules = [("block" if k % 2 else "allow", h + "/") for k, h in enumerate(hosts[:50])]
+    urls = [(bad if k % 2 else good)(h) for k, h in enumerate(hosts) for _ in range(12)] + [None, "x", ""]
+    urls += [good(hosts[0])] * 3000  # one URL many times
+    data = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, Host string")
+    runs = [sorted((r.page_id, r.verdict, r.block_score, r.rule) for r in filter_urls(data.repartition(n), rules).collect()) for n in (2, 7)]
+    assert str(runs[0]) == str(runs[1])
+    free = [(i, v) for i, v, _, rule in runs[0] if rule is None and i < 80 * 12]
+    assert len(free) == 30 * 12 and sum((v == "block") == (i // 12 % 2 == 1) for i, v in free) > 0.95 * len(free)
+    assert filter_urls(data.limit(0), rules).collect() == []
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from ampliflow.llm.language import language_of
+    from ampliflow.llm.lm import score
+    from ampliflow.llm.pack import pack
+    from ampliflow.llm.vectors import near_vectors
+    from ampliflow.llm.warc import archive, audit
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    data = spark.createDataFrame([(1, "Ein Satz.", "de", 5, 5), (1, "Ein Satz.", "de", 5, 5), (2, None, None, None, 5), (None, "漢字" * 40, "zh", 5, 5)], "doc_id long, text string, lang string, score int, offset int")
+    made = {"language": lambda d: language_of(d), "score": lambda d: score(d, F.col("doc_id") != 2), "pack": lambda d: pack(d, path)}
+    for name, f in made.items():
+        assert f(data.limit(0)).collect() == [], name
+        assert len(f(data).collect()) >= 4, name
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 1, 7)], "vec_id long, embedding array<double>, label int, n_links int")
+    assert [(r.n_links, r.kept) for r in near_vectors(vectors).collect()] == [(0, True)] and near_vectors(vectors.limit(0)).collect() == []
+    pages = spark.createDataFrame([(None, "u", "h", "z"), (None, None, None, "z"), (1, "u", "h", "z")], "page_id long, url string, html string, digest string")
+    assert audit(archive(pages), archive(pages)).collect() == [] and audit(archive(pages.limit(0)), archive(pages.limit(0))).collect() == []
+
+
+def test_pipeline_drops_long_documents_with_a_passage(spark):
+    import corpus_pipeline as c
+
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").first().text
+    long = " ".join(f"wort{k}" for k in range(5000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}", "en", "s", 1), (2, long, "en", "s", 1)], SCHEMA)
+    assert [r.doc_id for r in c.decontamination(spark, docs, "/root/testdata/sf0.001").collect()] == [2]
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as c
 
