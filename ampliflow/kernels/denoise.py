@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .align import align
+from .align import align, substitutions
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,9 @@ class Options:
     match: int = 5
     mismatch: int = -4
     gap: int = -8
+    run_gap: int | None = None
     band: int = 16
+    use_quals: bool = True
     gapless: bool = True
     greedy: bool = True
 
@@ -70,7 +72,7 @@ class Sample:
     def __init__(self, seqs: list[str], reads: list[int], quals: list, err: np.ndarray, options: Options, priors: set[str] | None = None):
         self.seqs, self.reads, self.err, self.o = seqs, np.array(reads, np.int64), err, options
         self.prior = np.array([s in (priors or set()) for s in seqs])
-        self.quals = [np.clip(np.floor(np.array(q, float) + 0.5).astype(int), 0, err.shape[1] - 1) if q is not None else np.zeros(len(s), int) for s, q in zip(seqs, quals, strict=True)]
+        self.quals = [np.clip(np.floor(np.array(q, float) + 0.5).astype(int), 0, err.shape[1] - 1) if q is not None and options.use_quals else np.zeros(len(s), int) for s, q in zip(seqs, quals, strict=True)]
         code = {65: 0, 67: 1, 71: 2, 84: 3}
         if bad := sum(any(ord(c) not in code for c in s) for s in seqs):
             raise ValueError(f"{bad} sequences hold letters other than A, C, G, T")
@@ -95,7 +97,7 @@ class Sample:
                 out[i] = self._rate(i, self.codes[centre] * 4 + self.codes[i])
             else:
                 todo.append(i)
-        for i, (x, y) in zip(todo, align([(self.seqs[centre], self.seqs[i]) for i in todo], self.o.match, self.o.mismatch, self.o.gap, self.o.band), strict=True):
+        for i, (x, y) in zip(todo, align([(self.seqs[centre], self.seqs[i]) for i in todo], self.o.match, self.o.mismatch, self.o.gap, self.o.band, run_gap=self.o.run_gap), strict=True):
             at, change = 0, self.codes[i] * 5  # a letter the centre lacks counts as unchanged
             for p, q in zip(x, y, strict=True):
                 if q != "-":
@@ -147,7 +149,7 @@ class Sample:
 
         meet(0, 1.0)
         update()
-        births = [(-1, 1.0)]
+        births = [{"birth_from": None, "birth_p": None, "birth_fold": None, "birth_ham": None}]
         while len(centres) < (o.max_clust or n):
             size = np.bincount(label, self.reads, len(centres))
             ham = np.array([stored[c].get(i, (0.0, -1))[1] for i, c in enumerate(label.tolist())])
@@ -158,13 +160,14 @@ class Sample:
             if not len(pick):
                 break
             pick = pick[np.lexsort((pick, label[pick], -self.reads[pick], p[pick]))]
-            i = int(pick[0])
+            i, worth = int(pick[0]), n
             if not p[i] * n < o.omega_a:
                 known = pick[self.prior[pick]]
                 if not len(known) or not p[known[0]] < o.omega_p:
                     break
-                i = int(known[0])
-            births.append((int(label[i]), float(p[i])))
+                i, worth = int(known[0]), 1
+            mean = lam[i] * size[label[i]]
+            births.append({"birth_from": int(label[i]), "birth_p": float(p[i]) * worth, "birth_fold": float(self.reads[i] / mean) if mean else np.inf, "birth_ham": int(ham[i])})
             label[i] = len(centres)
             centres.append(i)
             meet(len(centres) - 1, o.kdist_cutoff)
@@ -176,9 +179,16 @@ class Sample:
                     break
                 label = new
             update()
-        return self._finish(label, centres, births)
+        return self._finish(label, centres, births, rates)
 
-    def _finish(self, label: np.ndarray, centres: list[int], births: list) -> dict:
+    def born_of(self, parent: int, centre: int) -> list[tuple[int, str, str, int]]:
+        """Substitutions of a centre against the one of the cluster it left: place there, both letters, quality."""
+        a, b = self.seqs[parent], self.seqs[centre]
+        x, y = (a, b) if self.o.band == 0 else align([(a, b)], self.o.match, self.o.mismatch, self.o.gap, self.o.band, run_gap=self.o.run_gap)[0]
+        at = np.cumsum([q != "-" for q in y]) - 1
+        return [(i, p, q, int(self.quals[centre][k])) for (i, p, q), k in zip(substitutions(x, y), [at[j] for j, (p, q) in enumerate(zip(x, y, strict=True)) if p != q and "-" not in (p, q)], strict=True)]
+
+    def _finish(self, label: np.ndarray, centres: list[int], births: list, rates: np.ndarray) -> dict:
         size = np.bincount(label, self.reads, len(centres))
         n, width = len(self.seqs), self.err.shape[1]
         pval, right, ham = np.ones(n), np.ones(n, bool), np.zeros(n, np.int64)
@@ -193,9 +203,13 @@ class Sample:
                 right[i] = pval[i] >= self.o.omega_c
                 if right[i]:
                     np.add.at(trans, (change, self.quals[i]), self.reads[i])
-        rows = []
+        rows, subs = [], []
+        others = np.where(rates[:, centres] > 0, rates[:, centres], 0) * size[:, None]  # reads expected of each cluster at each centre
+        np.fill_diagonal(others, 0)
         for c, centre in enumerate(centres):
+            made = self.born_of(centres[births[c]["birth_from"]], centre) if c else []
+            subs += [{"cluster": c, "pos": i, "from_nt": a, "to_nt": b, "q": q} for i, a, b, q in made]
             own = (label == c) & right
             weight = lambda mask: int(self.reads[mask].sum())
-            rows.append({"cluster": c, "seq": self.seqs[centre], "abundance": weight(own), "n0": weight(own & (ham == 0)), "n1": weight(own & (ham == 1)), "nunq": int(own.sum()), "birth_from": births[c][0], "birth_p": births[c][1]})
-        return {"clusters": rows, "map": np.where(right, label, -1), "p": pval, "trans": trans}
+            rows.append({"cluster": c, "seq": self.seqs[centre], "abundance": weight(own), "n0": weight(own & (ham == 0)), "n1": weight(own & (ham == 1)), "nunq": int(own.sum()), "pval": abundance_p(int(self.reads[centre]), float(others[:, c].sum()), True), **births[c], "birth_q": float(np.mean([m[3] for m in made])) if made and self.o.use_quals else None})
+        return {"clusters": rows, "births": subs, "map": np.where(right, label, -1), "p": pval, "trans": trans}

@@ -17,7 +17,7 @@ from ..kernels.errors import initial_errors, loess_errors
 from .reads import dereplicate
 from .resolve import saved
 
-CLUSTERS = "sample_id string, cluster long, seq string, abundance long, n0 long, n1 long, nunq long, birth_from long, birth_p double"
+CLUSTERS = "sample_id string, cluster long, seq string, abundance long, n0 long, n1 long, nunq long, pval double, birth_from long, birth_p double, birth_fold double, birth_ham long, birth_q double"
 
 
 def _sample(pdf: pd.DataFrame, err: np.ndarray, options: Options, priors: set[str] | None) -> dict:
@@ -26,17 +26,33 @@ def _sample(pdf: pd.DataFrame, err: np.ndarray, options: Options, priors: set[st
 
 
 def denoise(uniques: DataFrame, err: np.ndarray, options: Options | None = None, priors: set[str] | None = None) -> DataFrame:
-    """Exact variants of each sample of ``dereplicate``'s rows: one group, one task, as clusters depend on all uniques."""
+    """Exact variants of each sample of ``dereplicate``'s rows: one group, one task, as clusters depend on all uniques.
+
+    ``pval``: of a centre's reads, given those expected from all other clusters. The birth of a cluster: the one it left, its p
+    (times the number of uniques, unless by a prior), reads over expected ones, substitutions and their mean quality; null for the first.
+    """
     options = options or Options()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(_sample(pdf, err, options, priors)["clusters"])
+        out = pd.DataFrame(_sample(pdf, err, options, priors)["clusters"]).astype({"birth_from": "Int64", "birth_ham": "Int64", "birth_p": float, "birth_fold": float, "birth_q": float})
         out.insert(0, "sample_id", pdf["sample_id"].iloc[0])
         return out
 
     return uniques.groupBy("sample_id").applyInPandas(run, CLUSTERS)
 
 
+def birth_substitutions(uniques: DataFrame, err: np.ndarray, options: Options | None = None) -> DataFrame:
+    """The substitutions that set each cluster's centre apart from that of the cluster it left: (sample_id, cluster, pos, from_nt, to_nt, q), from 0."""
+    options = options or Options()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_sample(pdf, err, options, None)["births"], columns=["cluster", "pos", "from_nt", "to_nt", "q"])
+        out.insert(0, "sample_id", pdf["sample_id"].iloc[0])
+        return out
+
+    return uniques.groupBy("sample_id").applyInPandas(run, "sample_id string, cluster long, pos long, from_nt string, to_nt string, q long")
+
+
 def denoise_map(uniques: DataFrame, err: np.ndarray, options: Options | None = None) -> DataFrame:
     """For each unique its cluster (-1: none explains it) and p."""
     options = options or Options()

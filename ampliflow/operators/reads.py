@@ -67,12 +67,13 @@ def filter_reads(df: DataFrame, *, max_len: int = 0, orient: str | None = None,
 def filter_pairs(fwd: DataFrame, rev: DataFrame, fwd_options: dict | None = None, rev_options: dict | None = None, orient: str | None = None) -> DataFrame:
     """Paired filter: a pair stays if both mates do. A mate without the other is an error.
 
-    Options of a side are those of ``filter_reads``. With ``orient`` forward reads must begin with it; where only the reverse
+    Headers are kept where both have them. Options of a side are those of ``filter_reads``. With ``orient`` forward reads must begin with it; where only the reverse
     complement does, both mates are turned.
     """
     both = fwd.alias("f").join(rev.alias("r"), ["sample_id", "read_id"], "full_outer")
     whole = F.when(F.col("f.seq").isNull() | F.col("r.seq").isNull(), F.raise_error(F.lit("forward and reverse reads differ"))).otherwise(F.lit(True))
-    out = both.filter(whole).select("sample_id", "read_id", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "fr" for c in ("seq", "qual")])
+    carried = ("header", "seq", "qual") if "header" in fwd.columns and "header" in rev.columns else ("seq", "qual")
+    out = both.filter(whole).select("sample_id", "read_id", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "fr" for c in carried])
     if orient:
         ahead, behind = F.col("f_seq").startswith(orient), S.rc(F.col("f_seq")).startswith(orient)
         turned = {f"{x}_seq": F.when(ahead, F.col(f"{x}_seq")).otherwise(S.rc(F.col(f"{x}_seq"))) for x in "fr"} | {f"{x}_qual": F.when(ahead, F.col(f"{x}_qual")).otherwise(F.reverse(f"{x}_qual")) for x in "fr"}

@@ -50,15 +50,28 @@ def merge_tables(tables: list[DataFrame], try_rc: bool = False) -> DataFrame:
     return rows.groupBy("table_id", "sample_id", "seq").agg(F.sum("abundance").alias("abundance"))
 
 
-def contained(seqs: DataFrame, k: int = 8) -> DataFrame:
-    """Pairs (inner, outer) of different sequences of which one holds the other, by an equi join on the inner one's first k-mer."""
-    n = seqs.select("seq").distinct()
-    short, anchored = n.filter(F.length("seq") < k), n.filter(F.length("seq") >= k)
-    at = F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substr(F.col("seq"), i, F.lit(k)))
-    outer = anchored.select(F.col("seq").alias("outer_seq"), F.explode(F.array_distinct(at)).alias("word"))
-    found = anchored.select(F.col("seq").alias("inner_seq"), F.left("seq", F.lit(k)).alias("word")).join(outer, "word").filter((F.col("inner_seq") != F.col("outer_seq")) & F.contains("outer_seq", "inner_seq")).select("inner_seq", "outer_seq")
-    tail = short.select(F.col("seq").alias("inner_seq")).join(n.select(F.col("seq").alias("outer_seq")), (F.col("inner_seq") != F.col("outer_seq")) & F.contains("outer_seq", "inner_seq"))
-    return found.unionByName(tail)
+def held(inner: DataFrame, outer: DataFrame, k: int = 16) -> DataFrame:
+    """Pairs (inner, outer) of the distinct sequences of both (seq) of which the second holds the first, itself included.
+
+    An inner sequence of ``k`` letters and more meets the outer ones that hold its rarest k-mer (ties: the least), so there is no
+    hot key where all begin with one primer. Shorter ones meet those that hold them as a word. Empty and null ones meet none.
+    """
+    words = lambda c, n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(F.col(c), i, n))))
+    a, b = inner.select(F.col("seq").alias("inner")).distinct(), outer.select(F.col("seq").alias("outer")).distinct()
+    some = b.filter(F.length("outer") >= k).select("outer", words("outer", F.lit(k)).alias("word"))
+    n = some.groupBy("word").agg(F.count("*").alias("n"))
+    asked = a.filter(F.length("inner") >= k).select("inner", words("inner", F.lit(k)).alias("word")).join(n, "word", "left")
+    rare = asked.groupBy("inner").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    long = rare.join(some, "word").filter(F.contains("outer", "inner")).select("inner", "outer")
+    short = a.filter(F.length("inner").between(1, k - 1))
+    sizes = F.broadcast(short.select(F.length("inner").alias("size")).distinct())  # fewer than k rows
+    cut = b.filter(F.length("outer") >= 1).select("outer", F.explode(F.sequence(F.lit(1), F.least(F.length("outer"), F.lit(k - 1)))).alias("size")).join(sizes, "size")
+    return long.unionByName(short.join(cut.select("outer", words("outer", F.col("size")).alias("inner")), "inner").select("inner", "outer"))
+
+
+def contained(seqs: DataFrame) -> DataFrame:
+    """Pairs (inner, outer) of different sequences of which one holds the other."""
+    return held(seqs, seqs).filter(F.col("inner") != F.col("outer")).select(F.col("inner").alias("inner_seq"), F.col("outer").alias("outer_seq"))
 
 
 def collapse(table: DataFrame) -> DataFrame:
@@ -124,17 +137,13 @@ def remove_bimeras(table: DataFrame, method: str = "consensus", flags: Callable[
 
 def species(queries: DataFrame, refs: DataFrame, keep: float = 1, try_rc: bool = False) -> DataFrame:
     """Exact species: queries (seq) that are part of a reference (seq, genus, species). keep: most species to name."""
-    k = 8
     q = queries.select("seq").distinct()
     asked = q.select("seq", F.col("seq").alias("as_read"))
     if try_rc:
         asked = asked.unionByName(q.select("seq", S.rc(F.col("seq")).alias("as_read")))
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length("ref"), F.lit(k)) - k + 1), lambda i: F.substr(F.col("ref"), i, F.lit(k)))
-    r = refs.select(F.col("seq").alias("ref"), S.fold_escherichia(F.col("genus")).alias("genus"), "species")
-    words = r.withColumn("word", F.explode(F.array_distinct(at)))
-    hit = asked.filter(F.length("as_read") >= k).withColumn("word", F.left("as_read", F.lit(k))).join(words, "word").filter(F.contains("ref", "as_read")).select("seq", (F.col("seq") == F.col("as_read")).alias("ahead"), "genus", "species")
-    few = asked.filter(F.length("as_read") < k).join(r, F.contains("ref", "as_read")).select("seq", (F.col("seq") == F.col("as_read")).alias("ahead"), "genus", "species")
-    hits = hit.unionByName(few)
+    r = refs.select(F.col("seq").alias("ref"), S.fold_escherichia(F.col("genus")).alias("genus"), "species").distinct()
+    pairs = held(asked.select(F.col("as_read").alias("seq")), r.select(F.col("ref").alias("seq"))).toDF("as_read", "ref")
+    hits = asked.join(pairs, "as_read").join(r, "ref").select("seq", (F.col("seq") == F.col("as_read")).alias("ahead"), "genus", "species")
     ahead = hits.groupBy("seq").agg(F.max("ahead").alias("any_ahead"))
     hits = hits.join(ahead, "seq").filter(F.col("ahead") == F.col("any_ahead"))
     g, s = F.array_sort(F.collect_set("genus")), F.array_sort(F.collect_set("species"))

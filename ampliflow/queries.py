@@ -565,6 +565,10 @@ def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.denoise(R.dereplicate(filtered(spark, sf_dir)), err)
 
 
+def birth_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.birth_substitutions(R.dereplicate(filtered(spark, sf_dir)), loess_errors(_matrix(trans_ungapped(spark, sf_dir))))
+
+
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.profiles(R.dereplicate(filtered(spark, sf_dir)), loess_errors(_matrix(trans_ungapped(spark, sf_dir))))
 

@@ -43,6 +43,11 @@ def _sample(path: str) -> str:
     return name
 
 
+def file_samples(path: str, kinds: tuple[str, ...] = (".fastq", ".fq")) -> list[str]:
+    """The samples of the files of a path, in the order of their names; files without reads count."""
+    return [_sample(f) for f in _files(path, kinds)]
+
+
 def fastq_records(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str]]:
     """Records of four lines, up to an empty header."""
     lines = (x.rstrip("\r\n") for x in lines)

@@ -276,6 +276,39 @@ def test_denoiser_keeps_reads():
     assert sum(c["abundance"] for c in out["clusters"]) == 5803 and out["trans"].sum() == 5803 * len(seq)
 
 
+def test_births_of_clusters(spark):
+    from ampliflow.operators.denoise import birth_substitutions, denoise
+
+    err = loess_errors(np.where(np.eye(4).astype(bool).reshape(16, 1), 100_000, 30) * np.ones((1, 41), int))
+    seq = "ACGTTGCAAGTCCATGACGTTGCAAGTCCATG"
+    far = seq[:10] + "TTTTT" + seq[15:]
+    q = [35.0] * 10 + [20.0] * 5 + [35.0] * 17
+    df = spark.createDataFrame([("s", 0, seq, 5000, [35.0] * 32), ("s", 1, far, 800, q)], "sample_id string, uniq_idx long, seq string, abundance long, quals array<double>")
+    old, new = denoise(df, err).orderBy("cluster").collect()
+    changed = [i for i in range(32) if seq[i] != far[i]]
+    assert (old.birth_from, old.birth_p, old.birth_fold, old.birth_ham, old.birth_q, new.birth_from, new.birth_ham, new.birth_q) == (None, None, None, None, None, 0, len(changed), 20.0)
+    rate = math.prod(err[4 * "ACGT".index(a) + "ACGT".index(b), int(x)] for a, b, x in zip(seq, far, q, strict=True))
+    assert new.birth_fold == pytest.approx(800 / (rate * 5800)) and new.birth_p == pytest.approx(2 * abundance_p(800, rate * 5800))
+    assert new.pval == pytest.approx(abundance_p(800, rate * 5000, True)) and 0 <= old.pval <= 1
+    subs = birth_substitutions(df, err).orderBy("pos").collect()
+    assert [(r.cluster, r.pos, r.from_nt, r.to_nt, r.q) for r in subs] == [(1, i, seq[i], far[i], 20) for i in changed]
+    flat = Sample([seq, far], [5000, 800], [[35] * 32, q], err, Options(use_quals=False))
+    assert not any(x.any() for x in flat.quals)
+
+
+def test_sequences_that_hold_others(spark):
+    from ampliflow.operators.tables import held
+
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("ACGT"), n))
+    whole = ["ACGTACGTACGTACGTACGT" + word(int(rng.integers(0, 40))) for _ in range(40)] + ["", "A" * 50, "N" * 17]
+    part = [w[i : i + n] for w in whole for i, n in [(int(rng.integers(0, 20)), int(rng.integers(1, 30)))]] + whole + [word(5), word(16), word(70)]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in [*xs, *xs, None]], "seq string")
+    got = sorted(map(tuple, held(frame(part), frame(whole)).collect()))
+    assert got == sorted({(a, b) for a in part if a for b in whole if a in b})
+    assert held(frame([]), frame(whole)).count() == held(frame(part), frame([])).count() == 0
+
+
 def test_sources_round_trip(spark, tmp_path):
     from ampliflow.sources.sequences import register
 
@@ -323,3 +356,21 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "r.fasta").write_text(f">1 K;P;\n{seq}\n>2 K;Q;\n{seq[::-1]}\n")
     main(["assign-taxonomy", str(tmp_path / "q.fasta"), str(tmp_path / "r.fasta"), str(tmp_path / "tax"), "--rounds", "10", "--levels", "Kingdom,Phylum"])
     assert [(r.Kingdom, r.Phylum, r.Phylum_boot) for r in spark.read.csv(str(tmp_path / "tax"), sep="\t", header=True).collect()] == [("K", "P", "100")]
+
+
+def test_command_line_of_pairs(spark, tmp_path):
+    from ampliflow.cli import main
+    from ampliflow.sources.sequences import register
+
+    seq = "ACGTTGCAAGTCCATGACGTTGCAAGTCCATGTTAGCCATGACCTTGAACGT"
+    bad = "N" * len(seq)
+    for name, of in (("a_R1", [seq, bad, seq]), ("a_R2", [seq, seq, bad]), ("b_R1", [bad]), ("b_R2", [seq])):
+        (tmp_path / name[-2:]).mkdir(exist_ok=True)
+        (tmp_path / name[-2:] / f"{name}.fastq").write_text("".join(f"@{name}.{i}\n{s}\n+\n{'I' * len(s)}\n" for i, s in enumerate(of)))
+    main(["filter-trim", *[str(tmp_path / x) for x in ("R1", "out1", "R2", "out2")], "--trunc-len", "50", "--trunc-len-reverse", "40", "--plain"])
+    register(spark)
+    back = spark.read.format("fastq").load(f"{tmp_path}/out1,{tmp_path}/out2").orderBy("sample_id").collect()
+    assert [(r.sample_id, r.header, len(r.seq)) for r in back] == [("a_R1", "@a_R1.0", 50), ("a_R2", "@a_R2.0", 40)]
+    assert (tmp_path / "out1" / "b_R1.fastq").read_text() == (tmp_path / "out2" / "b_R2.fastq").read_text() == ""
+    stats = spark.read.csv(str(tmp_path / "out1_stats"), sep="\t", header=True).orderBy("sample").collect()
+    assert [(r["sample"], r["reads_in"], r["reads_out"]) for r in stats] == [("a_R1", "3", "1"), ("b_R1", "1", "0")]
