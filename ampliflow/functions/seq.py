@@ -149,6 +149,21 @@ def ordered_distance(a: Column, b: Column, k: int = 5) -> Column:
     return F.when(n > 0, 1 - F.size(equal) / n)
 
 
+def gapless(a: Column, b: Column) -> tuple[Column, Column]:
+    """Letter against letter, the shorter one filled up with gaps."""
+    n = F.greatest(F.length(a), F.length(b))
+    return F.rpad(a, n, F.lit("-")), F.rpad(b, n, F.lit("-"))
+
+
+def substitutions(x: Column, y: Column) -> Column:
+    """(pos, from_nt, to_nt) where letters of an alignment differ, by the place in the first from 0; N and gaps are none."""
+    at = lambda s, i: F.substr(s, i, F.lit(1))
+    differ = lambda i: (at(x, i) != at(y, i)) & ~at(x, i).isin("-", "N") & ~at(y, i).isin("-", "N")
+    place = lambda i: F.length(F.replace(F.substr(x, F.lit(1), i), F.lit("-"), F.lit(""))) - 1
+    every = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), differ)
+    return F.transform(every, lambda i: F.struct(place(i).cast("long").alias("pos"), at(x, i).alias("from_nt"), at(y, i).alias("to_nt")))
+
+
 def fold_escherichia(genus: Column) -> Column:
     return F.when(genus.contains("Escherichia") | genus.contains("Shigella"), "Escherichia/Shigella").otherwise(genus)
 

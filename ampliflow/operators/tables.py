@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from .resolve import homes
+from .resolve import homes, saved
 
 
 def sequence_table(uniques: DataFrame) -> DataFrame:
@@ -16,10 +16,18 @@ def sequence_table(uniques: DataFrame) -> DataFrame:
 
 
 def ordered_columns(table: DataFrame, by: str = "abundance") -> DataFrame:
-    """Sequences with totals, in the order of a wide table's columns."""
+    """Sequences with totals, in the order of a wide table's columns.
+
+    Ranges of the order are numbered each by itself, after the sizes of those before (a row a range), so no task sees all.
+    """
     total = table.groupBy("seq").agg(F.sum("abundance").alias("total"), F.count_if(F.col("abundance") > 0).alias("n_samples"))
-    order = Window.orderBy(F.desc("total" if by == "abundance" else "n_samples"), "seq")
-    return total.withColumn("column", F.row_number().over(order))
+    order = [F.desc("total" if by == "abundance" else "n_samples"), F.asc("seq")]
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(total.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("size")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_place", place).join(F.broadcast(sizes), "_range").select("seq", "total", "n_samples", (F.col("_before") + F.col("_place")).alias("column"))
 
 
 def sample_columns(table: DataFrame, most: int = 10_000) -> list[str]:

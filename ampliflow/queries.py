@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import seq as S
-from .kernels.errors import binned_errors, loess_errors
+from .kernels.errors import LEAST, MOST, binned_errors, loess_errors
 from .operators import denoise as D
 from .operators import reads as R
 from .operators import tables as T
 from .operators.resolve import shared_path, shifts
 from .plans.fixtures import LENGTH, READS, reads, templates
-from .sources.sequences import register
+from .sources.sequences import register, sequences_of
 
 ORACLES: dict[str, str] = {}
 START = "TT"
@@ -434,6 +434,23 @@ def ordered_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["ordered_distances"] = f"WITH {READS} SELECT read_id, round(1 - len(list_filter(range(1, 61), lambda i: substr(seq, i, 5) = substr(tseq, i, 5))) / 60, 6) AS distance FROM reads JOIN t USING (tid)"
 
 
+def gapless_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where reads differ from the first 60 letters of their amplicons, letter against letter."""
+    r = reads(spark, sf_dir).join(F.broadcast(templates(spark, sf_dir)), "tid")  # 40 rows
+    x, y = S.gapless(F.left("tseq", F.lit(60)), F.col("seq"))
+    return r.select("read_id", x.alias("x"), y.alias("y")).select("read_id", F.inline(S.substitutions(F.col("x"), F.col("y"))))
+
+
+ORACLES["gapless_substitutions"] = f"WITH {READS}, w AS (SELECT read_id, i - 1 AS pos, substr(tseq, CAST(i AS INT), 1) AS from_nt, substr(seq, CAST(i AS INT), 1) AS to_nt FROM reads JOIN t USING (tid), unnest(range(1, 61)) AS u(i)) SELECT * FROM w WHERE from_nt <> to_nt AND from_nt <> 'N' AND to_nt <> 'N' AND to_nt <> '' AND from_nt <> ''"
+
+
+def distinct_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences_of(spark, reads(spark, sf_dir).withColumn("seq", F.lower("seq")), collapse=True)
+
+
+ORACLES["distinct_sequences"] = f"WITH {READS} SELECT DISTINCT upper(seq) AS seq FROM reads"
+
+
 def cycled_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A benchmark case: the reads in turn until 2,000,000 bases are reached."""
     return R.cycled(reads(spark, sf_dir).filter("read_id < 500").select("read_id", "sample_id", "seq", "qual"), 2_000_000)
@@ -552,8 +569,19 @@ def err_loess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.error_rows(spark, loess_errors(_matrix(trans_ungapped(spark, sf_dir))))
 
 
+BINS = (8, 20, 30, 40)
+
+
 def err_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.error_rows(spark, binned_errors([8, 20, 30, 40])(_matrix(trans_ungapped(spark, sf_dir))))
+    return D.error_rows(spark, binned_errors(list(BINS))(_matrix(trans_ungapped(spark, sf_dir)))).withColumn("rate", F.round("rate", 9))
+
+
+_PAIRS = "nt(x) AS (VALUES ('A'), ('C'), ('G'), ('T')), ch AS (SELECT a.x AS from_nt, b.x AS to_nt FROM nt a, nt b)"
+ORACLES["err_binned"] = f"""WITH {READS}, {_TRANS}, {_PAIRS}, bins(bin) AS (VALUES {", ".join(f"({b})" for b in BINS)}), z AS (SELECT from_nt, q, sum(n) AS total FROM tr GROUP BY ALL),
+o AS (SELECT ch.from_nt, ch.to_nt, bin, coalesce(tr.n / z.total, 0) AS rate FROM ch CROSS JOIN bins LEFT JOIN tr ON tr.from_nt = ch.from_nt AND tr.to_nt = ch.to_nt AND tr.q = bin LEFT JOIN z ON z.from_nt = ch.from_nt AND z.q = bin),
+s AS (SELECT q, coalesce(max(bin) FILTER (WHERE bin <= q), min(bin)) AS lo, coalesce(min(bin) FILTER (WHERE bin >= q), max(bin)) AS hi FROM range(0, (SELECT max(q) + 1 FROM tr)) AS u(q), bins GROUP BY q),
+v AS (SELECT a.from_nt, a.to_nt, s.q, least(greatest(a.rate + CASE WHEN hi > lo THEN (b.rate - a.rate) * (s.q - lo) / (hi - lo) ELSE 0 END, {LEAST}), {MOST}) AS rate FROM s JOIN o a ON a.bin = lo JOIN o b ON b.bin = hi AND b.from_nt = a.from_nt AND b.to_nt = a.to_nt WHERE a.from_nt <> a.to_nt)
+SELECT from_nt, to_nt, q, round(rate, 9) AS rate FROM v UNION ALL SELECT from_nt, from_nt, q, round(1 - sum(rate), 9) FROM v GROUP BY from_nt, q"""
 
 
 def learned_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -594,6 +622,10 @@ def merged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.merge_pairs(clean(f), clean(r))
 
 
+ORACLES["merged_pairs"] = f"""WITH {READS}, m AS (SELECT sample_id, seq, left(seq, 40) AS forward, left({_RC.format("seq")}, 40) AS reverse FROM reads)
+SELECT sample_id, seq, forward, reverse, count(*) AS abundance, 80 - length(seq) AS nmatch, CAST(0 AS BIGINT) AS nmismatch, CAST(0 AS BIGINT) AS nindel, true AS accept FROM m WHERE NOT contains(forward, 'N') AND NOT contains(reverse, 'N') GROUP BY ALL"""
+
+
 def merged_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, r = _mates(spark, sf_dir)
     return D.merge_pairs(f, r, just_concatenate=True).select("sample_id", "seq", "abundance", "accept")
@@ -613,7 +645,7 @@ def bimera_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _own() -> dict:
-    names = {"filtered", "reads", "templates", "queries", "oracle_sql", "register", "shared_path", "shifts"}
+    names = {"filtered", "reads", "templates", "queries", "oracle_sql", "register", "sequences_of", "shared_path", "shifts"}
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in names}
 
 

@@ -15,7 +15,10 @@ import os
 from collections.abc import Iterator
 from itertools import groupby, islice
 
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 BATCH = 8192
@@ -171,6 +174,31 @@ class FastaSource(FastqSource):
         return _Writer(self.options["path"], False, self.options.get("compression") == "gzip", overwrite)
 
 
+def sequences_of(spark, found, collapse: bool = False):
+    """(seq) in upper case, of a FASTA or FASTQ path, one sequence, a list, the keys of a dict, a pandas Series, or a frame of Spark or pandas.
+
+    A frame gives its column ``sequence`` or ``seq``, or else (a wide table) the names of its columns. ``collapse``: each once.
+    """
+    if isinstance(found, DataFrame):
+        column = next((c for c in ("sequence", "seq") if c in found.columns), None)
+        out = found.select(F.upper(column).alias("seq")) if column else None
+        found = None if column else found.columns
+    elif isinstance(found, str) and _files(found, ()) and os.path.exists(_files(found, ())[0]):
+        register(spark)
+        kind = "fastq" if _files(found, ())[0].removesuffix(".gz").removesuffix(".gzip").endswith((".fastq", ".fq")) else "fasta"
+        out, found = spark.read.format(kind).load(found).select(F.upper("seq").alias("seq")), None
+    elif isinstance(found, str):
+        found = [found]
+    elif isinstance(found, pd.DataFrame):
+        column = next((c for c in ("sequence", "seq") if c in found.columns), None)
+        found = found[column] if column else found.columns
+    elif not hasattr(found, "__iter__"):
+        raise TypeError(f"no sequences in a {type(found).__name__}")
+    if found is not None:
+        out = spark.createDataFrame([(str(s).upper(),) for s in found], "seq string")
+    return out.distinct() if collapse else out
+
+
 def register(spark) -> None:
     spark.dataSource.register(FastqSource)
     spark.dataSource.register(FastaSource)

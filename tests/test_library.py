@@ -8,13 +8,16 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ampliflow import queries as library
+from ampliflow.functions import seq as S
 from ampliflow.kernels import align as A
 from ampliflow.kernels.denoise import Options, Sample, abundance_p, upper_tail
 from ampliflow.kernels.errors import binned_errors, flat_errors, loess_errors, pacbio_errors
+from ampliflow.sources.sequences import sequences_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,7 +35,7 @@ def rows(df):
     return sorted(map(str, df.where(df.notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["filter_single", "filter_paired", "trim_primers", "orient_reads", "derep_quals", "seqtab_merge_rc", "seqtab_wide", "species_exact", "nb_classify", "bimera_consensus", "sankey_links", "lineage_parse", "collapse_edges", "err_noqual", "collapse_no_mismatch", "shift_denovo", "taxonomy_ranks", "bimera_pooled", "bimera_per_sample", "names", "species_added", "unite_headers", "ordered_distances", "cycled_reads", "rank_totals", "oriented_pairs", "fastq_round_trip", "fasta_round_trip"])
+@pytest.mark.parametrize("name", ["filter_single", "filter_paired", "trim_primers", "orient_reads", "derep_quals", "seqtab_merge_rc", "seqtab_wide", "species_exact", "nb_classify", "bimera_consensus", "sankey_links", "lineage_parse", "collapse_edges", "err_noqual", "collapse_no_mismatch", "shift_denovo", "taxonomy_ranks", "bimera_pooled", "bimera_per_sample", "names", "species_added", "unite_headers", "ordered_distances", "cycled_reads", "rank_totals", "oriented_pairs", "fastq_round_trip", "fasta_round_trip", "seqtab_columns", "err_binned", "merged_pairs", "gapless_substitutions", "distinct_sequences"])
 def test_query_equals_sql(spark, duck, name):
     assert rows(library.queries()[name](spark, SF).toPandas()) == rows(duck.execute(library.oracle_sql()[name]).df())
 
@@ -147,6 +150,28 @@ def test_what_is_read_off_alignments():
     assert A.coverage("ACGTACGT", "ACGAACCT") == (3, 1) and A.coverage("ACGTACGT", "ACGAACCT", misses=1) == (6, 4)
 
 
+def test_columns_of_alignments_equal_the_kernel(spark):
+    pairs = [("ACGT", "ACGA"), ("AC-GTN", "ACTGAA"), ("-ACG", "TACC"), ("", ""), ("AAAA", "CC")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    x, y = S.gapless(F.col("a"), F.col("b"))
+    made = df.select("a", "b", x.alias("x"), y.alias("y")).withColumn("s", S.substitutions(F.col("x"), F.col("y"))).collect()
+    for r in made:
+        assert (r.x, r.y) == A.gapless(r.a, r.b) and [tuple(s) for s in r.s] == A.substitutions(r.x, r.y)
+
+
+def test_sequences_of_all_kinds(spark, tmp_path):
+    got = lambda found, **more: sorted(r.seq for r in sequences_of(spark, found, **more).collect())
+    (tmp_path / "x.fasta").write_text(">a\nac\nGT\n>b\nACGT\n")
+    (tmp_path / "x.fastq").write_text("@a\nacgn\n+\nIIII\n")
+    assert got(str(tmp_path / "x.fasta")) == ["ACGT"] * 2 and got(str(tmp_path / "x.fasta"), collapse=True) == ["ACGT"]
+    assert got(str(tmp_path / "x.fastq")) == ["ACGN"]
+    assert got("acg") == ["ACG"] and got(["a", "A"], collapse=True) == ["A"] and got([]) == [] and got({"ac": 3}) == ["AC"]
+    assert got(pd.DataFrame({"sequence": ["a"]})) == ["A"] and got(pd.DataFrame({"ac": [1], "g": [2]})) == ["AC", "G"] and got(pd.Series(["t"])) == ["T"]
+    assert got(spark.createDataFrame([("a", 1)], "seq string, n long")) == ["A"] and got(spark.createDataFrame([(1,)], "acgt long")) == ["ACGT"]
+    with pytest.raises(TypeError):
+        sequences_of(spark, 3)
+
+
 def test_bimeras_with_one_wrong_letter(spark):
     from ampliflow.operators import denoise as D
     from ampliflow.operators import tables as T
