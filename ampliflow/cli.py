@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .operators import reads as R
 from .operators import tables as T
-from .sources.sequences import file_samples, register
+from .operators.files import filter_and_trim
+from .sources.sequences import register
 
 
 def filter_trim(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -18,33 +18,15 @@ def filter_trim(spark: SparkSession, a: argparse.Namespace) -> None:
 
     A sample without reads left gets an empty file. Mates belong together by their places in files of the same rank by name.
     """
-    both = bool(a.reverse)
-    if both != bool(a.reverse_output):
-        raise SystemExit("reverse reads need an input and an output")
-    own = dict(trim_left=a.trim_left, trim_right=a.trim_right, trunc_q=a.trunc_q, min_len=a.min_len, max_n=a.max_n, max_ee=a.max_ee, rm_phix=not a.keep_phix)
-    reads, names = spark.read.format("fastq").load(a.input), file_samples(a.input)
-    if both:
-        mates, other = spark.read.format("fastq").load(a.reverse), file_samples(a.reverse)
-        if len(names) != len(other):
-            raise SystemExit("as many forward as reverse files are needed")
-        named = F.broadcast(spark.createDataFrame(list(zip(names, other, strict=True)), "sample_id string, other string"))  # a row a file
-        mates = mates.withColumnRenamed("sample_id", "other").join(named, "other").drop("other")
-        kept = R.filter_pairs(reads, mates, own | {"trunc_len": a.trunc_len}, own | {"trunc_len": a.trunc_len_reverse})
-        _write(kept.select("sample_id", "read_id", *[F.col(f"f_{c}").alias(c) for c in ("header", "seq", "qual")]), a.output, names, a.plain)
-        back = kept.join(named, "sample_id").select(F.col("other").alias("sample_id"), "read_id", *[F.col(f"r_{c}").alias(c) for c in ("header", "seq", "qual")])
-        _write(back, a.reverse_output, other, a.plain)
-    else:
-        kept = R.filter_reads(reads, trunc_len=a.trunc_len, **own)
-        _write(kept.select("sample_id", "read_id", "header", "seq", "qual"), a.output, names, a.plain)
-    stats = R.filter_stats(reads, kept).withColumn("pct_retained", F.round(100 * F.col("reads_out") / F.col("reads_in"), 1)).withColumnRenamed("sample_id", "sample")
+    options = dict(trim_left=a.trim_left, trim_right=a.trim_right, trunc_len=(a.trunc_len, a.trunc_len_reverse), trunc_q=a.trunc_q, min_len=a.min_len, max_n=a.max_n, max_ee=a.max_ee, rm_phix=not a.keep_phix)
+    try:
+        stats = filter_and_trim(spark, a.input, a.output, a.reverse, a.reverse_output, compress=not a.plain, **options)
+    except ValueError as e:
+        raise SystemExit(str(e)) from e
+    stats = stats.withColumn("pct_retained", F.round(100 * F.col("reads_out") / F.col("reads_in"), 1)).withColumnRenamed("sample_id", "sample")
     stats.write.mode("overwrite").csv(f"{a.output}_stats", sep="\t", header=True)
 
 
-def _write(reads: DataFrame, path: str, samples: list[str], plain: bool) -> None:
-    rows = reads.withColumn("sep", F.lit("+")).repartition("sample_id").sortWithinPartitions("sample_id", "read_id")
-    rows.write.format("fastq").options(bySample="true", samples=",".join(samples), compression="none" if plain else "gzip").mode("overwrite").save(path)
-
-
 def _asked(spark: SparkSession, path: str) -> DataFrame:
     """Sequences of a FASTA, Parquet or CSV file (column ``sequence`` or ``seq``)."""
     if path.endswith((".parquet", ".csv")):

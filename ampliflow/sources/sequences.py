@@ -183,9 +183,9 @@ def sequences_of(spark, found, collapse: bool = False):
         column = next((c for c in ("sequence", "seq") if c in found.columns), None)
         out = found.select(F.upper(column).alias("seq")) if column else None
         found = None if column else found.columns
-    elif isinstance(found, str) and _files(found, ()) and os.path.exists(_files(found, ())[0]):
+    elif isinstance(found, str) and (files := [f for f in _files(found, (".fastq", ".fq", ".fasta", ".fa", ".fna")) if os.path.exists(f)]):
         register(spark)
-        kind = "fastq" if _files(found, ())[0].removesuffix(".gz").removesuffix(".gzip").endswith((".fastq", ".fq")) else "fasta"
+        kind = "fastq" if files[0].removesuffix(".gz").removesuffix(".gzip").endswith((".fastq", ".fq")) else "fasta"
         out, found = spark.read.format(kind).load(found).select(F.upper("seq").alias("seq")), None
     elif isinstance(found, str):
         found = [found]

@@ -17,6 +17,7 @@ from ampliflow.functions import seq as S
 from ampliflow.kernels import align as A
 from ampliflow.kernels.denoise import Options, Sample, abundance_p, upper_tail
 from ampliflow.kernels.errors import binned_errors, flat_errors, loess_errors, pacbio_errors
+from ampliflow.operators.files import filter_and_trim
 from ampliflow.sources.sequences import sequences_of
 
 SF = "/root/testdata/sf0.001"
@@ -165,6 +166,9 @@ def test_sequences_of_all_kinds(spark, tmp_path):
     (tmp_path / "x.fastq").write_text("@a\nacgn\n+\nIIII\n")
     assert got(str(tmp_path / "x.fasta")) == ["ACGT"] * 2 and got(str(tmp_path / "x.fasta"), collapse=True) == ["ACGT"]
     assert got(str(tmp_path / "x.fastq")) == ["ACGN"]
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder/y.fa").write_text(">a\nttt\n")
+    assert got(str(tmp_path / "folder")) == ["TTT"]
     assert got("acg") == ["ACG"] and got(["a", "A"], collapse=True) == ["A"] and got([]) == [] and got({"ac": 3}) == ["AC"]
     assert got(pd.DataFrame({"sequence": ["a"]})) == ["A"] and got(pd.DataFrame({"ac": [1], "g": [2]})) == ["AC", "G"] and got(pd.Series(["t"])) == ["T"]
     assert got(spark.createDataFrame([("a", 1)], "seq string, n long")) == ["A"] and got(spark.createDataFrame([(1,)], "acgt long")) == ["ACGT"]
@@ -172,6 +176,22 @@ def test_sequences_of_all_kinds(spark, tmp_path):
         sequences_of(spark, 3)
 
 
+def test_filter_files(spark, tmp_path):
+    record = "@{}\n{}\n+\n{}\n".format
+    for side in "fr":
+        (tmp_path / side).mkdir()
+    (tmp_path / "f/s.fastq").write_text(record("a", "TT" + "ACGTACGTAC" * 3, "I" * 32) + record("b", "N" * 32, "I" * 32))
+    (tmp_path / "r/s2.fastq").write_text(record("a", "CCAGGTTACA" * 3, "I" * 30) + record("b", "CCAGGTTACA" * 3, "I" * 30))
+    run = lambda *paths, **more: [tuple(r) for r in filter_and_trim(spark, *(str(tmp_path / p) for p in paths), compress=False, **more).collect()]
+    assert run("f", "single", trim_left=2) == [("s", 2, 1)]
+    assert (tmp_path / "single/s.fastq").read_text() == record("a", "ACGTACGTAC" * 3, "I" * 30)
+    assert run("f", "fwd", "r", "rev", trunc_len=(20, 25)) == [("s", 2, 1)]
+    assert [len((tmp_path / p).read_text().split("\n")[1]) for p in ("fwd/s.fastq", "rev/s2.fastq")] == [20, 25]
+    assert run("r", "none", max_ee=0.0) == [("s2", 2, 0)] and (tmp_path / "none/s2.fastq").read_text() == ""
+    with pytest.raises(ValueError):
+        filter_and_trim(spark, "f", "x", "r")
+
+
 def test_bimeras_with_one_wrong_letter(spark):
     from ampliflow.operators import denoise as D
     from ampliflow.operators import tables as T
