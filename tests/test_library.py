@@ -17,6 +17,7 @@ from ampliflow.functions import seq as S
 from ampliflow.kernels import align as A
 from ampliflow.kernels.denoise import Options, Sample, abundance_p, upper_tail
 from ampliflow.kernels.errors import binned_errors, flat_errors, loess_errors, pacbio_errors
+from ampliflow.operators import tables as T
 from ampliflow.operators.files import filter_and_trim
 from ampliflow.sources.sequences import sequences_of
 
@@ -176,6 +177,19 @@ def test_sequences_of_all_kinds(spark, tmp_path):
         sequences_of(spark, 3)
 
 
+@pytest.mark.parametrize("by", ["abundance", "nsamples"])
+def test_column_order_of_ties_and_empty_tables(spark, by):
+    found = [(f"s{k % 7}", f"{'ACGT'[k % 4]}{k % 60}", k % 3 + 1) for k in range(400)]
+    table = spark.createDataFrame(found, "sample_id string, seq string, abundance long")
+    n = Counter()
+    for _, seq, m in found:
+        n[seq] += m if by == "abundance" else 1
+    made = T.ordered_columns(table, by).collect()
+    assert [r.seq for r in sorted(made, key=lambda r: r.column)] == sorted(n, key=lambda x: (-n[x], x))
+    assert sorted(r.column for r in made) == list(range(1, len(n) + 1))
+    assert T.ordered_columns(table.limit(0), by).count() == 0
+
+
 def test_filter_files(spark, tmp_path):
     record = "@{}\n{}\n+\n{}\n".format
     for side in "fr":
