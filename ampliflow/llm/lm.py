@@ -4,10 +4,13 @@ Tokens are lower-cased (A-Z) white-space words and one end token a text. Every
 token is in a class: the most frequent words make classes of equal size, all
 other words of the shared counts are in the class of their topic, and the rest
 (rare and new words, and those seen once, which tell how likely new ones are)
-in one of its own. Topics are found by k-means over a
-bounded sample of training texts; each training text counts for the topic its
-words speak for most, and a word is of the topic it is counted most often in.
-Classes of frequent words are filled topic by topic.
+in one of its own. Topics are found by spherical k-means over all training
+texts, of any length, from their counts of the ``TOPIC_WORDS`` most frequent
+tokens; it begins with the words that best span the main directions of the texts.
+Each training text counts for the topic its words speak for most, and a word is
+of the topic it is counted most often in, over all training tokens.
+Classes of frequent words are filled topic by topic. What is summed over texts
+are whole numbers, so topics do not depend on partitions.
 
 The probability of a token is that of its class given the history times that
 of the word in the class: two softmaxes over hashed features of the history
@@ -27,7 +30,7 @@ empty table gives no rows. Only the named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Scratch, mix, slices, text_buffers, word_hashes, words
+from .common import LOWER, NOT_SPACE, Scratch, mix, numbers, slices, text_buffers, word_hashes, words
 
 CLASSES, PER_CLASS = 32, 32
 TOPICS = 8
 OPEN = CLASSES + TOPICS + 1  # all classes; the last one is of rare and new words
-TOPIC_TEXTS, TOPIC_BYTES, TOPIC_WORDS = 2000, 1 << 16, 2048  # sampled texts, bytes of one, words that tell topics apart
+TOPIC_WORDS = 2048  # words that tell topics apart
+TURNS, PASSES = 3, 10  # passes over the texts: of the power iteration for the directions, of k-means at most
+ENTRIES = 1 << 18  # words of texts handled at a time
+UNIT = float(1 << 24)  # what is summed over texts is rounded to whole numbers of 1 / UNIT
 SLOTS = 1 << 15
 BLOCKS = 64  # parts into which the weights are split when they are averaged
 ROUNDS = 2
@@ -79,38 +85,44 @@ def history(token: np.ndarray, kind: np.ndarray, begin: np.ndarray) -> np.ndarra
     return np.stack([np.full(len(token), one), mix(a + one), mix(mix(a) + b), mix(b ^ one), mix(classes * one)])
 
 
-def topics(token: np.ndarray, begin: np.ndarray, k: int = TOPICS, n_words: int = TOPIC_WORDS, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of words and their log odds in each topic (words, k), by spherical k-means over texts."""
-    key, n = np.unique(token, return_counts=True)
-    key = np.sort(key[np.lexsort((key, -n))[:n_words]])
-    texts = len(begin) - 1
-    if not texts or not len(key):
-        return np.zeros(0, np.uint64), np.zeros((0, k))
-    at = np.minimum(np.searchsorted(key, token), len(key) - 1)
-    known = key[at] == token
-    cell = np.repeat(np.arange(texts), np.diff(begin))[known] * len(key) + at[known]
-    count = np.bincount(cell, minlength=texts * len(key)).reshape(texts, -1)
-    x = np.log1p(count) * np.log((texts + 1) / (1 + (count > 0).sum(0)))
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-    long = np.flatnonzero(count.sum(1) >= np.median(count.sum(1)))  # short texts make poor first centres
-    centres = x[long[np.linspace(0, len(long) - 1, k).astype(int)]]
-    for _ in range(rounds):
-        of = (x @ centres.T).argmax(1)
-        centres = np.stack([x[of == c].sum(0) if (of == c).any() else centres[c] for c in range(k)])
-        centres /= np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-9)
-    share = np.stack([count[of == c].sum(0) + 0.5 for c in range(k)])
-    share = share / share.sum(1, keepdims=True)
-    return key, np.log(share / share.mean(0)).T
+def unit(word: np.ndarray, times: np.ndarray, begin: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of the words of texts, each text a vector of length one (or zero). ``begin``: where each text's begin (and their number)."""
+    x = np.log1p(times) * idf[word]
+    size = np.sqrt(np.add.reduceat(x * x, begin[:-1]))
+    return x / np.repeat(np.maximum(size, 1e-9), np.diff(begin))
+
+
+def project(x: np.ndarray, word: np.ndarray, begin: np.ndarray, onto: np.ndarray) -> np.ndarray:
+    """Products of texts with the columns of ``onto`` (words, columns): (texts, columns)."""
+    return np.add.reduceat(x.astype(np.float32)[:, None] * onto.astype(np.float32)[word], begin[:-1])
+
+
+def first_centres(onto: np.ndarray) -> np.ndarray:
+    """First centres of topics (words, TOPICS) from main directions (words, directions): words that span these best, by QR with pivots, each as projected on them."""
+    left, out = onto.copy(), np.zeros((len(onto), TOPICS))
+    for t in range(onto.shape[1]):
+        size = (left * left).sum(1)
+        at = size.argmax()
+        if size[at] < 1e-12:
+            break
+        out[:, t] = onto @ onto[at] / np.sqrt((onto[at] ** 2).sum())
+        left = left - np.outer(left @ left[at], left[at]) / size[at]
+    return out
+
+
+def by_topic(value: np.ndarray, word: np.ndarray, begin: np.ndarray, topic: np.ndarray, width: int) -> np.ndarray:
+    """Sums of ``value`` by topic of the text and word: (TOPICS, width)."""
+    return np.bincount(np.repeat(topic, np.diff(begin)) * width + word, value, TOPICS * width).reshape(TOPICS, width)
 
 
-def topic_of(token: np.ndarray, begin: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The topic of each text (the first one for texts without known words)."""
+def topic_of(one: np.ndarray, back: np.ndarray, begin: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The topic of each text (the first one for texts without known words). ``one``, ``back``: distinct tokens, and which of them each is."""
     key, odds = table
     if not len(key):
         return np.zeros(len(begin) - 1, np.int64)
-    at = np.minimum(np.searchsorted(key, token), len(key) - 1)
-    gain = np.where((key[at] == token)[:, None], odds[at], 0.0)
-    return np.add.reduceat(gain, begin[:-1]).argmax(1)
+    at = np.minimum(np.searchsorted(key, one), len(key) - 1)
+    gain = np.where((key[at] == one)[:, None], odds[at], 0.0)
+    return np.add.reduceat(gain[back], begin[:-1]).argmax(1)
 
 
 class Words:
@@ -240,36 +252,138 @@ class Model:
                 table[u] = table.take(u, 0) - change
 
 
-def _sampled(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Topics of the TOPIC_TEXTS distinct training texts (of at most TOPIC_BYTES) of least hash."""
-    some = docs.filter(F.octet_length("text") <= TOPIC_BYTES).select("text", F.xxhash64(F.lit(6), "text").alias("h"))
-    distinct = some.agg(F.approx_count_distinct("h")).first()[0]
-    share = min(1.0, 2 * TOPIC_TEXTS / max(distinct, 1))  # of the hashes, of which more than enough are taken
-    some = some.filter(F.shiftrightunsigned("h", 44) <= int(share * (1 << 20)))
-    texts = some.groupBy("h").agg(F.min("text").alias("text")).orderBy(F.shiftrightunsigned("h", 1), "h").limit(TOPIC_TEXTS).select("text").toArrow()
-    data, off = text_buffers(texts["text"]) if len(texts) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    return topics(*tokens(data, off))
+def _entries(docs: DataFrame, key: np.ndarray) -> DataFrame:
+    """(word, times): which words of ``key`` each text holds (16 bits each), and how often (32 bits each). Texts without any are left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = shared.value
+        for batch in batches:
+            data, off = text_buffers(batch.column(0))
+            for lo, hi in slices(off, SLICE):
+                token, begin = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                one, back = np.unique(token, return_inverse=True)
+                at = np.minimum(np.searchsorted(key, one), len(key) - 1)
+                known, at = (key[at] == one)[back], at[back]
+                cell, n = np.unique((np.repeat(np.arange(hi - lo), np.diff(begin)) * len(key) + at)[known], return_counts=True)
+                size = np.bincount(cell // len(key), minlength=hi - lo)
+                cut = np.append(0, np.cumsum(size[size > 0]))
+                made = [pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in ((cell % len(key)).astype(np.uint16), n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(made, names=["word", "times"])
+
+    return docs.select("text").mapInArrow(run, "word binary, times binary")
+
 
+def _sum(texts: DataFrame, step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all texts of the rows of whole numbers that ``step(word, times, begin)`` gives for some of them."""
 
-def _count(docs: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, n, topic) of all tokens of the training texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    def column(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        wide = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+        _, offsets, data = col.buffers()
+        off = np.frombuffer(offsets, wide)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+        value = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind)
+        return value, (off - off[0]) // value.itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (word, off), (times, _) = column(batch.column(0), np.uint16), column(batch.column(1), np.int32)
+            for lo, hi in slices(off, ENTRIES):
+                part = slice(off[lo], off[hi])
+                made = step(word[part].astype(np.int64), times[part], off[lo : hi + 1] - off[lo])
+                total = made if total is None else total + made
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array([row.astype(np.float64).tobytes() for row in total], pa.binary())], names=["row", "sums"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in rows["sums"])
+        return pa.table({"row": rows["row"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    found = texts.mapInArrow(run, "row int, sums binary").groupBy("row").applyInArrow(add, "row int, sums binary").collect()
+    return np.stack([np.frombuffer(r.sums, np.float64) for r in sorted(found, key=lambda r: r.row)])
+
+
+def _topics(docs: DataFrame, key: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of words and their log odds in each topic (words, topics), by spherical k-means over all texts. ``key``: the words."""
+    key, width = np.sort(key), len(key)
+    if not width:
+        return key, np.zeros((0, TOPICS))
+    texts = scratch.save(_entries(docs, key), "entries")
+    held, n = _sum(texts, lambda word, times, begin: np.stack([np.bincount(word, minlength=width), np.bincount([0], [len(begin) - 1], width)]))
+    idf = np.log((n[0] + 1) / (held + 1))
+
+    def spread(onto: np.ndarray) -> np.ndarray:
+        def step(word: np.ndarray, times: np.ndarray, begin: np.ndarray) -> np.ndarray:
+            x = unit(word, times, begin, idf)
+            far = np.repeat(project(x, word, begin, onto), np.diff(begin), axis=0)
+            return np.stack([np.bincount(word, np.rint(x * f * UNIT), width) for f in far.T])
+
+        return np.linalg.qr(_sum(texts, step).T)[0]
+
+    def grouped(centres: np.ndarray, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def step(word: np.ndarray, times: np.ndarray, begin: np.ndarray) -> np.ndarray:
+            x = unit(word, times, begin, idf)
+            return by_topic(value(x, times), word, begin, project(x, word, begin, centres).argmax(1), width)
+
+        return _sum(texts, step)
+
+    onto = np.linalg.qr(numbers(width * TOPICS, 7).reshape(width, TOPICS) / 2.0**64 - 0.5)[0]
+    for _ in range(TURNS):
+        onto = spread(onto)
+    centres, last = first_centres(onto), None
+    for _ in range(PASSES):
+        sums = grouped(centres, lambda x, times: np.rint(x * UNIT))
+        if last is not None and np.array_equal(sums, last):
+            break
+        size = np.sqrt((sums * sums).sum(1))
+        centres, last = np.where(size > 0, sums.T / np.maximum(size, 1), centres), sums
+    share = grouped(centres, lambda x, times: times) + 0.5
+    scratch.drop("entries")
+    share = share / share.sum(1, keepdims=True)
+    return key, np.log(share / share.mean(0)).T
+
+
+def _count(docs: DataFrame) -> DataFrame:
+    """(token, n) of all tokens of the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_buffers(batch.column(0))
             for lo, hi in slices(off, SLICE):
-                token, begin = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                topic = np.repeat(topic_of(token, begin, shared.value), np.diff(begin))
-                for t in np.unique(topic).tolist():
-                    key, n = np.unique(token[topic == t], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.full(len(key), t, np.int32))], names=["token", "n", "topic"])
+                key, n = np.unique(tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
 
-    found = docs.select("text").mapInArrow(run, "token long, n long, topic int")
-    each = [F.sum(F.when(F.col("topic") == t, F.col("n")).otherwise(0)).alias(f"n{t}") for t in range(TOPICS)]
-    found = found.groupBy("token").agg(*each)
-    of = F.array(*[f"n{t}" for t in range(TOPICS)])
-    return found.select("token", F.aggregate(of, F.lit(0).cast("long"), lambda a, b: a + b).alias("n"), (F.array_position(of, F.array_max(of)) - 1).cast("int").alias("topic"))
+    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def _topic_of_words(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
+    """The topic of each word of ``key`` (sorted): that of most of its occurrences in the training texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((table, key))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, key = shared.value
+        for batch in batches:
+            data, off = text_buffers(batch.column(0))
+            for lo, hi in slices(off, SLICE):
+                token, begin = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                one, back = np.unique(token, return_inverse=True)
+                topic = np.repeat(topic_of(one, back, begin, table), np.diff(begin))
+                n = np.bincount(back * TOPICS + topic, minlength=len(one) * TOPICS).reshape(-1, TOPICS)
+                at = np.minimum(np.searchsorted(key, one), len(key) - 1)
+                known = key[at] == one
+                row, of = np.nonzero(n * known[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(at[row], pa.int32()), pa.array(n[row, of], pa.int64()), pa.array(of.astype(np.int32))], names=["word", "n", "topic"])
+
+    out = np.zeros(len(key), np.int64)
+    if len(key) and len(table[0]):
+        found = docs.select("text").mapInArrow(run, "word int, n long, topic int")
+        each = [F.sum(F.when(F.col("topic") == t, F.col("n")).otherwise(0)).alias(f"n{t}") for t in range(TOPICS)]
+        of = F.array(*[f"n{t}" for t in range(TOPICS)])
+        most = found.groupBy("word").agg(*each).select("word", (F.array_position(of, F.array_max(of)) - 1).cast("int").alias("topic")).toArrow()
+        out[most["word"].to_numpy()] = most["topic"].to_numpy()
+    return out
 
 
 def _train(docs: DataFrame, words: Words, total: int) -> Model:
@@ -322,7 +436,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(~training, F.lit(True)).alias("held_out"))
     learn = docs.filter(~F.col("held_out"))
-    counts = scratch.save(_count(learn, _sampled(learn)), "counts")
+    counts = scratch.save(_count(learn), "counts")
     sizes = sorted(((r.k, r.v, r.n) for r in counts.groupBy(F.floor(F.log2("n") * 8).alias("k")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()), reverse=True)
     total, distinct = sum(r[2] for r in sizes), sum(r[1] for r in sizes)
     least, have = None, 0  # the least step of log2 n from which counts are broadcast
@@ -331,8 +445,14 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
             break
         least, have = k, have + v
     often = counts.filter(F.floor(F.log2("n") * 8) >= least) if least is not None else counts.limit(0)
-    table = often.select("token", "n", "topic").toArrow()
-    words = Words(table["token"].to_numpy().view(np.uint64), table["n"].to_numpy(), table["topic"].to_numpy())
+    table = often.select("token", "n").toArrow()
+    key, n = table["token"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    top = counts.orderBy(F.desc("n"), "token").limit(TOPIC_WORDS).select("token").toArrow()["token"].to_numpy().view(np.uint64)
+    topic, several = np.zeros(len(key), np.int64), n > 1
+    topic[several] = _topic_of_words(learn, _topics(learn, top, scratch), key[several])
+    words = Words(key, n, topic)
     model = _train(learn, words, total)
     known = spark.sparkContext.broadcast((words, model.outer, model.inner))
     free = words.member[:-1] < 0

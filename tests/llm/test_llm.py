@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -448,6 +449,51 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     assert score(spark.createDataFrame(data[:0], "doc_id long, text string"), F.lit(True)).collect() == []
 
 
+def test_language_model_learns_topics_from_all_texts(spark):
+    from pyspark.sql import functions as F
+
+    from ampliflow.llm.lm import score
+
+    rng = random.Random(12)
+    words = {k: [f"{k}{i}" for i in range(2000)] for k in "xy"}
+    data = [(i, prose(rng, 14_000, words["xy"[i % 2]])) for i in range(32)]  # all of more than 64 KB
+    assert all(len(t) > 1 << 16 for _, t in data)
+    out = score(spark.createDataFrame(data, "doc_id long, text string").repartition(3), F.col("doc_id") < 28).filter("held_out").collect()
+    assert len(out) == 4 and all((r.score - r.base_score) / r.n_tokens > 0.1 for r in out)  # at most log10(2) if topics are told apart
+
+
+def test_topics_of_texts_and_words_equal_brute_force(spark, tmp_path):
+    from ampliflow.llm.common import Scratch, text_buffers
+    from ampliflow.llm.lm import TOPICS, _entries, _sum, _topic_of_words, _topics, by_topic, tokens
+
+    rng = random.Random(13)
+    words = {k: [f"{k}{i}" for i in range(60)] for k in "abcdefgh"}
+    data = [("abcdefgh"[i % 8], prose(rng, rng.randint(0, 40), words["abcdefgh"[i % 8]])) for i in range(2600)]
+    data += [("a", None), ("a", ""), ("b", prose(rng, 20_000, words["b"]))]
+    hashed = lambda t: tokens(*text_buffers(pa.array([t], pa.string())))[0].tolist()
+    count = Counter(w for _, t in data for w in hashed(t))
+    key = np.array(sorted(count, key=lambda w: (-count[w], w))[:400], np.uint64)
+    tables, each = [], []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(data, "kind string, text string").repartition(parts)
+        held = _sum(_entries(docs, np.sort(key)), lambda word, times, begin: by_topic(times, word, begin, np.zeros(len(begin) - 1, int), len(key)))
+        assert held[0].tolist() == [count[w] for w in np.sort(key).tolist()] and not held[1:].any()
+        table = _topics(docs, key, Scratch(spark))
+        tables.append(table)
+        each.append(_topic_of_words(docs, table, np.array(sorted(count), np.uint64)))
+    assert np.array_equal(tables[0][0], tables[1][0]) and np.array_equal(tables[0][1], tables[1][1]) and np.array_equal(*each)
+    at, odds = {w: i for i, w in enumerate(tables[0][0].tolist())}, tables[0][1]
+    by_word, of_kind = {w: Counter() for w in count}, Counter()
+    for k, t in data:
+        topic = int(sum((odds[at[w]] for w in hashed(t) if w in at), np.zeros(TOPICS)).argmax())
+        of_kind[k, topic] += 1
+        for w in hashed(t):
+            by_word[w][topic] += 1
+    assert each[0].tolist() == [min(c, key=lambda t: (-c[t], t)) for _, c in sorted(by_word.items())]
+    assert sum(max(of_kind[k, t] for t in range(TOPICS)) for k in "abcdefgh") > 0.9 * len(data)  # a kind is in one topic
+    assert len({max(range(TOPICS), key=lambda t: of_kind[k, t]) for k in "abcdefgh"}) >= 6  # and kinds in different ones
+
+
 def test_fixity_audit(spark):
     from pyspark.sql import functions as F
 
