@@ -19,7 +19,8 @@ of a class that is not of frequent words has its share of the smoothed counts
 there. The model begins with the shares of classes and words, and is trained
 once over all training texts: in each of ``ROUNDS`` rounds every task makes
 gradient updates on its part from the current weights, and the changes are
-averaged for each feature over the tasks that saw it.
+averaged for each feature over the tasks that saw it. Small partitions are
+read together, since the changes of a task are of one size however few its texts.
 
 Counts cover all training tokens (keys are 64-bit hashes of words). Counts of
 at most ``SHARED`` frequent tokens are broadcast; those of all others are
@@ -34,11 +35,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Scratch, mix, numbers, slices, text_buffers, word_hashes, words
+from .common import _BYTE, LOWER, NOT_SPACE, Scratch, mix, numbers, slices, text_buffers, words
 
 CLASSES, PER_CLASS = 32, 32
 TOPICS = 8
@@ -52,20 +53,42 @@ BLOCKS = 64  # parts into which the weights are split when they are averaged
 ROUNDS = 2
 SHARED = 1 << 20
 RATE, BATCH = 4.0, 4096
+NEAR = 8  # rows of a slot that are added one by one, before the rest is added at once
 END = np.uint64(0x5851F42D4C957F2D)
 SLICE = 4 << 20
+TASK_TOKENS = 1 << 21  # a task has so many tokens at least, on average, unless there are fewer tasks than cores
+SPAN = 1 << 15  # bytes hashed at a time
+STEP = 0xD1342543DE82EF95
+VALUE = np.where(NOT_SPACE, _BYTE[LOWER], np.uint64(0))  # of each byte in lower case
+POWER = np.cumprod(np.full(2 * SPAN, STEP, np.uint64))
+INVERSE = np.cumprod(np.append(np.uint64(1), np.full(SPAN - 1, pow(STEP, -1, 2**64), np.uint64)))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of lower-cased words with nothing but white space between them; a word of any length has the same hash wherever it is.
+
+    Those of ``word_hashes`` where no word is longer than 4,096 bytes: powers count from the first word of a span, then each word is brought back to its own start.
+    """
+    out = np.empty(len(start), np.uint64)
+    cut = np.unique(np.append(np.searchsorted(start, np.arange(0, len(data), SPAN)), len(start)))
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        lo, hi = start[i], end[j - 1]
+        value = VALUE.take(data[lo:hi])
+        value *= POWER[: hi - lo] if hi - lo <= len(POWER) else np.cumprod(np.full(hi - lo, STEP, np.uint64))
+        at = start[i:j] - lo
+        out[i:j] = np.add.reduceat(value, at) * INVERSE[at]
+    return mix(out + (end - start).astype(np.uint64))
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, end tokens included, and where each text's begin (and their number)."""
-    low = LOWER[data]
-    start, end, first = words(low, off, NOT_SPACE)
+    start, end, first = words(data, off, NOT_SPACE)
     begin = first + np.arange(len(off))
     out = np.empty(len(start) + len(off) - 1, np.uint64)
     out[begin[1:] - 1] = END
     word = np.ones(len(out), bool)
     word[begin[1:] - 1] = False
-    out[word] = word_hashes(low, start, end)
+    out[word] = hashes(data, start, end)
     return out, begin
 
 
@@ -130,21 +153,22 @@ class Words:
 
     def __init__(self, key: np.ndarray, n: np.ndarray, topic: np.ndarray):
         order = np.argsort(key, kind="stable")
-        self.key, self.n, self.topic = key[order], n[order].astype(np.int64), topic[order].astype(np.int64)
+        self.key, self.n, topic = key[order], n[order].astype(np.int64), topic[order].astype(np.int64)
         top = np.lexsort((self.key, -self.n))[: CLASSES * PER_CLASS]
-        top = top[np.argsort(self.topic[top], kind="stable")]
-        self.kind, self.member = np.where(self.n > 1, CLASSES + self.topic, OPEN - 1), np.full(len(key), -1)
+        top = top[np.argsort(topic[top], kind="stable")]
+        self.kind, self.member = np.where(self.n > 1, CLASSES + topic, OPEN - 1).astype(np.int16), np.full(len(key), -1, np.int16)
         self.kind[top], self.member[top] = np.arange(len(top)) // PER_CLASS, np.arange(len(top)) % PER_CLASS
         self.tops = len(top)
         self.key = np.append(self.key, np.uint64(2**64 - 1))
-        self.n, self.kind, self.member = np.append(self.n, 0), np.append(self.kind, OPEN - 1), np.append(self.member, -1)
+        self.n, self.kind, self.member = np.append(self.n, 0), np.append(self.kind, np.int16(OPEN - 1)), np.append(self.member, np.int16(-1))
 
     def find(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class and member (-1: not a frequent word) of each token, and its count (0: not shared)."""
         one, back = np.unique(token, return_inverse=True)
         at = np.searchsorted(self.key, one)
-        found = self.key[at] == one
-        return np.where(found, self.kind[at], OPEN - 1)[back], np.where(found, self.member[at], -1)[back], np.where(found, self.n[at], 0)[back]
+        at[self.key[at] != one] = len(self.key) - 1  # the last one has no count and is in the class of new words
+        at = at[back]
+        return self.kind[at], self.member[at], self.n[at]
 
 
 class Model:
@@ -156,6 +180,7 @@ class Model:
         self.no_class = np.concatenate([self.no_word.all(1), np.bincount(words.kind, minlength=OPEN)[CLASSES:] == 0])
         self.outer = np.zeros((SLOTS, OPEN), np.float32) if outer is None else outer.copy()
         self.inner = np.zeros((SLOTS, PER_CLASS), np.float32) if inner is None else inner.copy()
+        self.room = [np.empty((2, BATCH, t.shape[1]), np.float32) for t in (self.outer, self.inner)]  # used again for each batch
 
     def begin(self, total: int) -> None:
         """The shares of classes and of their words as weights of the bias."""
@@ -179,20 +204,22 @@ class Model:
         return (features >> np.uint64(64 - 15)).astype(np.uint16)
 
     @staticmethod
-    def softmax(table: np.ndarray, slots: np.ndarray, absent: np.ndarray) -> np.ndarray:
-        """Probabilities of rows of feature slots (features, rows); ``absent`` columns (of all rows, or of each) have none."""
-        x = table.take(slots[1], 0)
+    def softmax(table: np.ndarray, slots: np.ndarray, absent: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Probabilities of rows of feature slots (features, rows), in ``room`` till it is used again; ``absent`` columns (of all rows, or of each) have none."""
+        x, part = room[:, : slots.shape[1]]
         if not len(x):  # no token of the batch is in a class
             return x
-        x += table[slots[0, 0]] if (slots[0] == slots[0, :1]).all() else table.take(slots[0], 0)  # the bias is one row for all
+        take = lambda s, out: np.take(table, s, 0, out, "clip")  # noqa: E731 (no slot is out of range, but only "clip" writes to ``out`` at once)
+        take(slots[1], x)
+        x += table[slots[0, 0]] if (slots[0] == slots[0, :1]).all() else take(slots[0], part)  # the bias is one row for all
         for s in slots[2:]:
-            x += table.take(s, 0)
+            x += take(s, part)
         if absent.any():
             x += np.where(absent, np.float32(-1e9), np.float32(0))
         if max(x.max(), -x.min()) > 60:  # else exp neither overflows nor vanishes
             x -= x.max(1, keepdims=True)
         np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
+        x /= np.einsum("ij->i", x)[:, None]
         return x
 
     def forward(self, f: np.ndarray, kind: np.ndarray, member: np.ndarray) -> tuple:
@@ -201,11 +228,11 @@ class Model:
         known = np.flatnonzero(member >= 0)
         k = kind[known]
         i = self.slots(mix(f[:, known] + k.astype(np.uint64) + np.uint64(1)))
-        return o, self.softmax(self.outer, o, self.no_class), known, i, self.softmax(self.inner, i, self.no_word[k] if self.no_word.any() else self.no_word)
+        return o, self.softmax(self.outer, o, self.no_class, self.room[0]), known, i, self.softmax(self.inner, i, self.no_word[k] if self.no_word.any() else self.no_word, self.room[1])
 
-    def log10(self, token: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """For each token the log10 probability, but for the share in its class of a word that is not a frequent one."""
-        kind, member = self.targets(token)
+    def log10(self, token: np.ndarray, begin: np.ndarray, target: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """For each token the log10 probability, but for the share in its class of a word that is not a frequent one. ``target``: class and member of each, where known."""
+        kind, member = target or self.targets(token)
         f = history(token, kind, begin)
         out = np.empty(len(token))
         for lo in range(0, len(token), BATCH):
@@ -236,28 +263,37 @@ class Model:
                     n[b] += len(grad)
                     table[b] -= grad.sum(0) * np.float32(rate / np.sqrt(len(grad) * n[b]))
                     slot = slot[1:]
-                flat = slot.ravel()
-                order = np.argsort(flat, kind="stable")  # a radix sort, as slots have 16 bits
-                at = flat[order]
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                u, c = at[first], np.diff(np.append(first, len(at)))
+                u, c, change = by_slot(slot, grad)
                 n[u] += c
-                change = grad.take(order[first] % len(grad), 0)
-                many = c > 1  # sums only where there is more than one row to sum
-                if many.any():
-                    place = np.repeat(many, c)
-                    cut = np.cumsum(c[many]) - c[many]
-                    change[many] = np.add.reduceat(grad.take(order[place] % len(grad), 0), cut, axis=0)
                 change *= (rate / np.sqrt(c * n[u]))[:, None].astype(np.float32)
                 table[u] = table.take(u, 0) - change
 
 
+def by_slot(slot: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct slots of (features, rows), how often each occurs, and the sums of their rows of ``grad``."""
+    flat = slot.ravel()
+    order = np.argsort(flat, kind="stable")  # a radix sort, as slots have 16 bits
+    at = flat[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    c = np.diff(np.append(first, len(at)))
+    most = np.argsort((-c).astype(np.uint16), kind="stable")  # those that occur most come first
+    first, c, row = first[most], c[most], order % len(grad)
+    out = grad.take(row[first], 0)
+    more = np.searchsorted(-c, -np.arange(1, NEAR + 1))  # how many occur more than once, twice and so on
+    for k, m in enumerate(more[:-1], 1):
+        if m:
+            out[:m] += grad.take(row[first[:m] + k], 0)
+    if m := more[-1]:
+        left = c[:m] - NEAR
+        cut = np.cumsum(left) - left
+        out[:m] += np.add.reduceat(grad.take(row[np.arange(left.sum()) + np.repeat(first[:m] + NEAR - cut, left)], 0), cut, axis=0)
+    return at[first], c, out
+
+
 def _entries(docs: DataFrame, key: np.ndarray) -> DataFrame:
     """(word, times): which words of ``key`` each text holds (16 bits each), and how often (32 bits each). Texts without any are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.value
         for batch in batches:
             data, off = text_buffers(batch.column(0))
             for lo, hi in slices(off, SLICE):
@@ -383,21 +419,22 @@ def _topic_of_words(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], key:
         of = F.array(*[f"n{t}" for t in range(TOPICS)])
         most = found.groupBy("word").agg(*each).select("word", (F.array_position(of, F.array_max(of)) - 1).cast("int").alias("topic")).toArrow()
         out[most["word"].to_numpy()] = most["topic"].to_numpy()
+    shared.destroy()
     return out
 
 
-def _train(docs: DataFrame, words: Words, total: int) -> Model:
+def _train(docs: DataFrame, words: Broadcast, total: int) -> Model:
     """One pass over the training texts, in ROUNDS parts of them."""
     spark = docs.sparkSession
-    model = Model(words)
+    model = Model(words.value)
     model.begin(total)
     width = SLOTS // BLOCKS
     for r in range(ROUNDS):
-        now = spark.sparkContext.broadcast((words, model.outer, model.inner))
+        now = spark.sparkContext.broadcast((model.outer, model.inner))
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             first = now.value
-            own, seen = Model(*first), (np.zeros(SLOTS), np.zeros(SLOTS))
+            own, seen = Model(words.value, *first), (np.zeros(SLOTS), np.zeros(SLOTS))
             any_ = False
             for batch in batches:
                 data, off = text_buffers(batch.column(0))
@@ -405,7 +442,7 @@ def _train(docs: DataFrame, words: Words, total: int) -> Model:
                     own.update(*tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), seen)
                     any_ = True
             if any_:
-                for t, (after, before, n) in enumerate(((own.outer, first[1], seen[0]), (own.inner, first[2], seen[1]))):
+                for t, (after, before, n) in enumerate(((own.outer, first[0], seen[0]), (own.inner, first[1], seen[1]))):
                     for b in range(BLOCKS):
                         part = slice(b * width, (b + 1) * width)
                         hit = np.flatnonzero(n[part])
@@ -427,6 +464,7 @@ def _train(docs: DataFrame, words: Words, total: int) -> Model:
             t, b = divmod(row.block, BLOCKS)
             table = (model.outer, model.inner)[t]
             table[b * width : (b + 1) * width] += np.frombuffer(row.change, np.float32).reshape(width, -1)
+        now.destroy()  # else its copies stay on the disks of the driver and of all executors
     return model
 
 
@@ -439,6 +477,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     counts = scratch.save(_count(learn), "counts")
     sizes = sorted(((r.k, r.v, r.n) for r in counts.groupBy(F.floor(F.log2("n") * 8).alias("k")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()), reverse=True)
     total, distinct = sum(r[2] for r in sizes), sum(r[1] for r in sizes)
+    learn = learn.coalesce(max(spark.sparkContext.defaultParallelism, -(-total // TASK_TOKENS)))  # what a task sends does not grow with its texts
     least, have = None, 0  # the least step of log2 n from which counts are broadcast
     for k, v, _ in sizes:
         if have + v > shared:
@@ -453,8 +492,9 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     topic, several = np.zeros(len(key), np.int64), n > 1
     topic[several] = _topic_of_words(learn, _topics(learn, top, scratch), key[several])
     words = Words(key, n, topic)
-    model = _train(learn, words, total)
-    known = spark.sparkContext.broadcast((words, model.outer, model.inner))
+    shared_words = spark.sparkContext.broadcast(words)
+    model = _train(learn, shared_words, total)
+    known = spark.sparkContext.broadcast((model.outer, model.inner))
     free = words.member[:-1] < 0
     of = np.bincount(words.kind[:-1][free], words.n[:-1][free] + 1, OPEN)  # the smoothed counts of a class, shared by its words
     of[-1] += total - int(words.n.sum()) + distinct - have + 1  # rare words, and one for all new ones
@@ -462,14 +502,14 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     base_log = float(np.log10(total + distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = Model(*known.value), TaskContext.get().partitionId() << 40
+        model, row = Model(shared_words.value, *known.value), TaskContext.get().partitionId() << 40
         for batch in batches:
             data, off = text_buffers(batch.column(1))
             for lo, hi in slices(off, SLICE):
                 token, begin = tokens(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 kind, member, n = model.words.find(token)
                 found, log_c = n > 0, np.log10(n + 1.0)
-                logp = model.log10(token, begin) + np.where(member < 0, log_c - class_log[kind], 0.0)
+                logp = model.log10(token, begin, (kind, member)) + np.where(member < 0, log_c - class_log[kind], 0.0)
                 sums = [np.add.reduceat(x, begin[:-1]) for x in (found.astype(np.int64), log_c, logp)]
                 doc = np.repeat(np.arange(hi - lo), np.diff(begin))[~found]
                 rare = token[~found]
@@ -485,6 +525,8 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     part = scratch.save(docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, log_c double, score double, rare array<long>, times array<int>"), "parts")
+    shared_words.destroy()
+    known.destroy()
     rare = part.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     seldom = counts.filter(F.floor(F.log2("n") * 8) < least) if least is not None else counts
     more = rare.join(seldom, "token").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log_r"))

@@ -462,6 +462,57 @@ def test_language_model_learns_topics_from_all_texts(spark):
     assert len(out) == 4 and all((r.score - r.base_score) / r.n_tokens > 0.1 for r in out)  # at most log10(2) if topics are told apart
 
 
+def test_language_model_counts_words_of_any_length(spark):
+    from pyspark.sql import functions as F
+
+    from ampliflow.llm.common import LOWER, NOT_SPACE, word_hashes, words
+    from ampliflow.llm.lm import SPAN, hashes, score
+
+    rng = random.Random(17)
+    text = " ".join("Ab" * rng.randint(1, 2000) + str(rng.randrange(99)) for _ in range(300)) + "  \n é x"
+    data = np.frombuffer(text.encode(), np.uint8)
+    start, end, _ = words(data, np.array([0, 9, len(data)]), NOT_SPACE)  # the second text begins inside a word
+    assert len(data) > 4 * SPAN and np.array_equal(hashes(data, start, end), word_hashes(LOWER[data], start, end))
+    long = "y" * (3 * SPAN)
+    rows = [(i, f"one two{i % 5} " + (f"{long} " if i % 3 == 0 else "") + "three") for i in range(24)]
+    c = Counter(w for _, t in rows for w in [*split(t), None])
+    n, v = sum(c.values()), len(c)
+    for r in score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), F.lit(True)).collect():
+        t = [*split(rows[r.doc_id][1]), None]
+        assert r.n_known == len(t) and r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t))
+
+
+def test_language_model_of_many_small_partitions_keeps_little_on_disk(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from ampliflow.llm.lm import score
+
+    rng = random.Random(18)
+    words = [f"w{i}" for i in range(900)]
+    docs = spark.createDataFrame([(i, prose(rng, 4000, words)) for i in range(96)], "doc_id long, text string").repartition(96).localCheckpoint()
+    kept = lambda: sorted(os.listdir(spark.sparkContext._temp_dir))
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before, files = sent(), kept()
+    assert score(docs, F.lit(True)).count() == 96
+    assert kept() == files  # copies of broadcasts go as soon as they were used
+    assert sent() - before < 60e6
+
+
+def test_sums_by_slot_equal_brute_force():
+    from ampliflow.llm.lm import NEAR, by_slot
+
+    rng = np.random.default_rng(19)
+    for top in (1, NEAR, 40, 30_000):  # all in one slot, as many as are added one by one, mostly apart
+        slot, grad = np.minimum(rng.geometric(1 / top, (4, 700)), 32_767).astype(np.uint16), rng.normal(size=(700, 5)).astype(np.float32)
+        u, c, total = by_slot(slot, grad)
+        assert sorted(u.tolist()) == sorted(set(slot.ravel().tolist()))
+        for s, n, t in zip(u, c, total, strict=True):
+            row = np.nonzero(slot == s)[1]
+            assert n == len(row) and t == pytest.approx(grad[row].astype(float).sum(0), abs=1e-4)
+
+
 def test_topics_of_texts_and_words_equal_brute_force(spark, tmp_path):
     from ampliflow.llm.common import Scratch, text_buffers
     from ampliflow.llm.lm import TOPICS, _entries, _sum, _topic_of_words, _topics, by_topic, tokens
